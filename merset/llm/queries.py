@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merset.llm import jpeg, language, secrets
+from merset.llm import jpeg, language, secrets, warc
 from merset.llm.common import fold
 from merset.llm.mixture import mix_sources
 from merset.llm.urlrules import judge_urls
@@ -43,7 +43,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language": op1_language, "op2_jpeg_payload": op2_jpeg_payload, "op4_secret_ledger": op4_secret_ledger, "op5_url_rules": op5_url_rules, "op6_mix_sources": op6_mix_sources}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_warc(spark, folder).drop("url")
+
+
+QUERIES = {"op1_language": op1_language, "op2_jpeg_payload": op2_jpeg_payload, "op4_secret_ledger": op4_secret_ledger, "op5_url_rules": op5_url_rules, "op6_mix_sources": op6_mix_sources, "op9_warc": op9_warc}
 
 OP5_SQL = r"""
 WITH p AS (
@@ -87,4 +92,14 @@ r AS (
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM r
 """
 
-ORACLES = {"op5_url_rules": OP5_SQL, "op6_mix_sources": OP6_SQL}
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_id END AS refers_to
+FROM r
+"""
+
+ORACLES = {"op5_url_rules": OP5_SQL, "op6_mix_sources": OP6_SQL, "op9_warc": OP9_SQL}
