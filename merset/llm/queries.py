@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from merset.llm import jpeg, language, secrets, warc
 from merset.llm.common import fold
 from merset.llm.mixture import mix_sources
+from merset.llm.neardup import near_duplicates
 from merset.llm.urlrules import judge_urls
 
 #: Rules that op5 applies: host, path, action.
@@ -43,12 +44,16 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.read_warc(spark, folder).drop("url")
 
 
-QUERIES = {"op1_language": op1_language, "op2_jpeg_payload": op2_jpeg_payload, "op4_secret_ledger": op4_secret_ledger, "op5_url_rules": op5_url_rules, "op6_mix_sources": op6_mix_sources, "op9_warc": op9_warc}
+QUERIES = {"op1_language": op1_language, "op2_jpeg_payload": op2_jpeg_payload, "op4_secret_ledger": op4_secret_ledger, "op5_url_rules": op5_url_rules, "op6_mix_sources": op6_mix_sources, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc}
 
 OP5_SQL = r"""
 WITH p AS (
