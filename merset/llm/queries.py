@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from merset.llm import jpeg, language, secrets, warc
 from merset.llm.common import fold
+from merset.llm.decontam import find_leaks
 from merset.llm.mixture import mix_sources
 from merset.llm.neardup import near_duplicates
 from merset.llm.urlrules import judge_urls
@@ -53,7 +54,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder).drop("url")
 
 
-QUERIES = {"op1_language": op1_language, "op2_jpeg_payload": op2_jpeg_payload, "op4_secret_ledger": op4_secret_ledger, "op5_url_rules": op5_url_rules, "op6_mix_sources": op6_mix_sources, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc}
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_language": op1_language, "op2_jpeg_payload": op2_jpeg_payload, "op4_secret_ledger": op4_secret_ledger, "op5_url_rules": op5_url_rules, "op6_mix_sources": op6_mix_sources, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_benchmark_leaks": op10_benchmark_leaks}
 
 OP5_SQL = r"""
 WITH p AS (
