@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merset.llm import jpeg, language, secrets, toxicity, warc
+from merset.llm import jpeg, language, lm, secrets, toxicity, warc
 from merset.llm.common import fold
 from merset.llm.decontam import find_leaks
 from merset.llm.mixture import mix_sources
@@ -31,6 +31,10 @@ def op2_jpeg_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.store_and_read(table(spark, sf_dir, "documents"))
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "total_bits", "bits_per_byte")
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -65,7 +69,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_language": op1_language, "op2_jpeg_payload": op2_jpeg_payload, "op4_secret_ledger": op4_secret_ledger, "op5_url_rules": op5_url_rules, "op6_mix_sources": op6_mix_sources, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_benchmark_leaks": op10_benchmark_leaks}
+QUERIES = {"op1_language": op1_language, "op2_jpeg_payload": op2_jpeg_payload, "op3_context_mixing": op3_context_mixing, "op4_secret_ledger": op4_secret_ledger, "op5_url_rules": op5_url_rules, "op6_mix_sources": op6_mix_sources, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_benchmark_leaks": op10_benchmark_leaks}
 
 OP5_SQL = r"""
 WITH p AS (
