@@ -147,8 +147,7 @@ def identify(docs: DataFrame, code: Code, text: str = "text", keep: tuple[str, .
         code = shared.value
         names = code.languages
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            raw, starts, ends = flat(column)
+            raw, starts, ends = flat(batch.column(at))
             sums = np.zeros((len(starts), code.words.shape[1]))
             letters = np.zeros(len(starts), bool)
             for i, j in slices(starts, ends, CHUNK):
@@ -176,9 +175,10 @@ def identify(docs: DataFrame, code: Code, text: str = "text", keep: tuple[str, .
                 letters[:] = False
                 first, score, second, near = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n), int), np.zeros(len(n), bool)
             pick = lambda ids: pa.array([names[k] if ok else "und" for k, ok in zip(ids, letters, strict=True)], pa.string())
-            cols = [batch.column(k) for k in range(batch.num_columns - 1)]
+            cols = [batch.column(k) for k in range(len(keep))]
             yield pa.record_batch([*cols, pick(first), pa.array(np.where(letters, np.round(score, 9), 0.0)), pick(second), pa.array(np.where(letters, near, False))], names=[*keep, "lang_pred", "score", "runner_up", "ambiguous"])
 
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    at = keep.index(text) if text in keep else len(keep)
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep) + ("," if keep else "") + " lang_pred string, score double, runner_up string, ambiguous boolean"
     return spread(rows).mapInArrow(run, schema)

@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, buckets_log16: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target and taken: how many words of each document the mix takes.
+    """doc_id, source, size, source_size, target and taken: how many words of each document the mix takes.
 
     A source's budget is its target rounded to whole words. Whole epochs come
     first; the last one takes documents by hash-random key until the budget is
@@ -82,4 +82,4 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
     by_key = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("cut_before") - F.coalesce(F.sum("size").over(by_key), F.lit(0))
     partly = joined.where(is_cut).withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    return whole.unionByName(partly).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last")).alias("taken"))
+    return whole.unionByName(partly).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last")).alias("taken"))

@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,3 +124,17 @@ def redact(text: str | None, spans: str, mark: str = "[SECRET]") -> str | None:
             out += [text[at:a], mark]
         at = max(at, b)
     return "".join([*out, text[at:]])
+
+
+@F.pandas_udf("string")
+def _redacted(text: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([redact(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
+
+
+def redact_secrets(docs: DataFrame, ledger_path: str | None = None, text: str = "text") -> DataFrame:
+    """``docs``, all rows and columns, with each secret replaced by a mark, and n_chars, if there, made anew for texts that changed."""
+    found = scan_versions(docs, ledger_path, text=text)
+    told = found.withColumn(text, _redacted(F.col(text), F.col("spans")))
+    if "n_chars" in docs.columns:
+        told = told.withColumn("n_chars", F.when(F.col("spans") != "", F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return told.select(*docs.columns)
