@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from merset.session import cut, scratch, spread
 
@@ -126,7 +127,7 @@ def redact(text: str | None, spans: str, mark: str = "[SECRET]") -> str | None:
     return "".join([*out, text[at:]])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _redacted(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([redact(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
