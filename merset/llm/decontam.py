@@ -2,8 +2,8 @@
 
 A passage is a window of twice the longest item's words, at every multiple of
 that length, so each occurrence of an item lies whole in one of them. Weights
-are BM25's, divided by what an item scores on its own words, so 1 means the
-whole item whatever its length. As in block-max WAND, an upper bound comes
+are BM25's for a passage's distinct words, divided by what an item scores on its own
+words, so 1 means the whole item whatever its length. As in block-max WAND, an upper bound comes
 first: terms in many items add their largest weight anywhere, the others their
 largest weight in each block of items; only blocks whose bound reaches the
 threshold are scored, so nothing above it is missed. What is retrieved is
@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from merset.llm.common import LOWER, flat, slices
 from merset.session import spread
 
-BLOCK = 16
+BLOCK = 4
+MANY = 64
 CHUNK = 1 << 20
 #: ASCII punctuation and white space to blanks, A-Z to a-z.
 PLAIN = bytes(32 if i < 128 and not chr(i).isalnum() else LOWER[i] for i in range(256))
@@ -59,13 +61,16 @@ class Index:
     """Postings by term, blocks of items and their largest weights; built from one shard of items with global counts."""
 
     def __init__(self, items: list[Item], df: dict[bytes, int], n_items: int, mean: float, k1: float = 1.2, b: float = 0.75):
-        self.items = items
         self.ids: dict[bytes, int] = {}
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for i, item in enumerate(items):
+        weighed = []
+        for item in items:
             tf = Counter(item.words)
             w = {t: np.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(item.words) / mean)) for t, c in tf.items()}
-            own = sum(w[t] * c for t, c in tf.items())
+            weighed.append((sum(w.values()), item, w))
+        weighed.sort(key=lambda x: x[0])  # so the items of a block are alike in what they score on themselves
+        self.items = [item for _, item, _ in weighed]
+        for i, (own, _, w) in enumerate(weighed):
             for t, x in w.items():
                 lists[self.ids.setdefault(t, len(self.ids))].append((i, x / own))
         size = np.array([len(lists[t]) for t in range(len(lists))], np.int64)
@@ -77,8 +82,8 @@ class Index:
         for t in range(len(lists)):
             for i, x in lists[t]:
                 per[t][i // BLOCK] = max(per[t].get(i // BLOCK, 0), x)
-        #: Terms in over a quarter of the blocks add their largest weight to every block.
-        self.common = np.array([max(p.values()) if len(p) > max(2, self.n_blocks // 4) else 0.0 for p in per])
+        #: Terms in very many blocks add their largest weight to every block.
+        self.common = np.array([max(p.values()) if len(p) > MANY else 0.0 for p in per])
         rare = [list(p.items()) if not self.common[t] else [] for t, p in enumerate(per)]
         self.block_start = np.concatenate([[0], np.cumsum([len(p) for p in rare])]).astype(np.int64)
         self.block = np.array([x for p in rare for x, _ in p], np.int64)
@@ -92,7 +97,11 @@ class Index:
         return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[terms], n), owner
 
     def retrieve(self, terms: np.ndarray, cell: np.ndarray, n_cells: int, joined: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-        """(cell, item, score) for passages (a cell and, where ``joined``, the next one) that score at least ``threshold``."""
+        """(cell, item, score) for passages (a cell and, where ``joined``, the next one) that score at least ``threshold``.
+
+        terms, cell: the distinct terms of each cell, in order of cell. A term
+        in both cells of a passage counts twice in the bound and once in the score.
+        """
         low = np.bincount(cell, weights=self.common[terms], minlength=n_cells)
         at, owner = self._ranges(self.block_start, terms)
         bound = np.bincount(cell[owner] * self.n_blocks + self.block[at], weights=self.block_max[at], minlength=n_cells * self.n_blocks).reshape(n_cells, -1)
@@ -102,10 +111,10 @@ class Index:
         order = np.searchsorted(cell, np.arange(n_cells + 1))
         passages, blocks = np.nonzero(bound >= threshold - 1e-9)
         for c in np.unique(passages):
-            own = terms[order[c] : order[c + 2 if joined[c] else c + 1]]
+            own = np.unique(terms[order[c] : order[c + 2 if joined[c] else c + 1]])
             at, _ = self._ranges(self.start, own)
             wanted = np.zeros(self.n_blocks, bool)
-            wanted[blocks[passages == c] if len(passages) < 64 else blocks[np.searchsorted(passages, c) : np.searchsorted(passages, c, "right")]] = True
+            wanted[blocks[np.searchsorted(passages, c) : np.searchsorted(passages, c, "right")]] = True
             at = at[wanted[self.item[at] // BLOCK]]
             score = np.bincount(self.item[at], weights=self.weight[at], minlength=len(self.items))
             found += [(int(c), int(i), float(score[i])) for i in np.flatnonzero(score >= threshold - 1e-9)]
@@ -142,7 +151,7 @@ def index_shards(benchmark: DataFrame, most_items: int, shingle: int) -> Iterato
             yield Index(made, own, n, mean)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = 0.5, overlap: float = 0.5, shingle: int = 5, most_items: int = 20_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = 0.6, overlap: float = 0.5, shingle: int = 5, most_items: int = 20_000) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: one row a document and item that it contains.
 
     score is the best passage's BM25 in units of the item's score on itself;
@@ -184,13 +193,14 @@ def _search(shared, threshold: float, overlap: float, shingle: int):
                 total = int(n_cells.sum())
                 if not total:
                     continue
-                ids = np.fromiter((get(w, -1) for x in lists for w in x), np.int64, int(n.sum()))
+                ids = np.fromiter(map(get, chain.from_iterable(lists), repeat(-1)), np.int64, int(n.sum()))
                 cell = np.repeat(first, n) + (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)) // span
-                known = ids >= 0
+                pairs = np.unique((cell * len(index.ids) + ids)[ids >= 0])
+                cells, terms = np.divmod(pairs, len(index.ids))
                 joined = np.ones(total, bool)
                 joined[(first + n_cells - 1)[n_cells > 0]] = False
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                for c, k, score in index.retrieve(ids[known], cell[known], total, joined, threshold):
+                for c, k, score in index.retrieve(terms, cells, total, joined, threshold):
                     d = int(np.searchsorted(first, c, side="right")) - 1
                     item, at = index.items[k], (c - int(first[d])) * span
                     own = lists[d][at : at + 2 * span]
