@@ -134,8 +134,12 @@ def _redacted(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 def redact_secrets(docs: DataFrame, ledger_path: str | None = None, text: str = "text") -> DataFrame:
     """``docs``, all rows and columns, with each secret replaced by a mark, and n_chars, if there, made anew for texts that changed."""
-    found = scan_versions(docs, ledger_path, text=text)
-    told = found.withColumn(text, _redacted(F.col(text), F.col("spans")))
-    if "n_chars" in docs.columns:
-        told = told.withColumn("n_chars", F.when(F.col("spans") != "", F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return told.select(*docs.columns)
+    rest = [c for c in docs.columns if c != text]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(1).alias("_"))
+    found = scan_versions(docs.select(row.alias("_row"), F.col(text).alias("_text")), ledger_path, text="_text")
+    new = _redacted(F.col("_text"), F.col("spans"))
+    told = found.select("_row", "spans", new.alias("_text"))
+    out = {c: F.col(f"_row.`{c}`") for c in rest} | {text: F.col("_text")}
+    if "n_chars" in rest:
+        out["n_chars"] = F.when(F.col("spans") != "", F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return told.select(*[out[c].alias(c) for c in docs.columns])

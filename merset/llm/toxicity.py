@@ -29,7 +29,7 @@ HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h",
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 _TABLE = {ord(k): v for k, v in HOMOGLYPHS.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {c: None for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD)}
 _ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in _TABLE) + "]")
-_SIGN = re.compile(rb"(?<=[a-z])[@$](?=[a-z])")
+_SIGN = re.compile(rb"(?<=[a-z])[@$]+(?=[a-z])")
 _FOLD = bytes(ord(DIGITS[chr(i)]) if chr(i) in DIGITS else 32 if i < 128 and not chr(i).isalnum() else LOWER[i] for i in range(256))
 SHORTEST, LONGEST = 3, 10
 
@@ -40,7 +40,7 @@ def folded(raw: bytes) -> list[bytes]:
         text = raw.decode("utf-8", "replace").lower()
         raw = (text.translate(_TABLE).lower() if _ODD.search(text) else text).encode()
     if b"@" in raw or b"$" in raw:
-        raw = _SIGN.sub(lambda m: b"a" if m[0] == b"@" else b"s", raw.lower())
+        raw = _SIGN.sub(lambda m: m[0].replace(b"@", b"a").replace(b"$", b"s"), raw.lower())
     return raw.translate(_FOLD).split()
 
 
