@@ -33,7 +33,8 @@ def not_covered(candidates: DataFrame, members: DataFrame, k: int, d: int, metri
         return candidates.alias("c").join(F.broadcast(members.select("enc", "kmer")).alias("m"), within(metric, d, "c", "m"), "left_anti")
     both = candidates.select("enc", "kmer", F.lit(False).alias("m")).unionByName(members.select("enc", "kmer", F.lit(True).alias("m")))
     pairs = by_deletion(both, k, d, metric).join(members.select(F.col("enc").alias("b")), "b", "left_semi")
-    return candidates.join(pairs.select(F.col("a").alias("enc")).distinct(), "enc", "left_anti")
+    near = pairs.select(F.col("a").alias("enc")).unionByName(members.select("enc")).distinct()
+    return candidates.join(near, "enc", "left_anti")
 
 
 def _simple(vertices: DataFrame, k: int, d: int, metric: str) -> DataFrame:

@@ -170,11 +170,11 @@ _ball("edit")
 _ball("hamming")
 
 
-@query("affine_order_k5", f"WITH {km_sql(5)} SELECT kmer, row_number() OVER (ORDER BY (2654435761 * enc + 12345) % 1024) AS at FROM km")
+@query("affine_order_k5", f"WITH {km_sql(5)} SELECT kmer, row_number() OVER (ORDER BY (2654435761 * enc + 12345) % 1024) AS place FROM km")
 def _(spark, sf_dir):
     from pyspark.sql import Window
 
-    return ranked(universe(spark, sf_dir, 5), 5, "affine").select("kmer", F.row_number().over(Window.orderBy("rank")).cast("bigint").alias("at"))
+    return ranked(universe(spark, sf_dir, 5), 5, "affine").select("kmer", F.row_number().over(Window.orderBy("rank")).cast("bigint").alias("place"))
 
 
 def _mis(metric: str, method: str, order: str, k: int, d: int) -> None:
