@@ -71,6 +71,37 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_language": op1_language, "op2_jpeg_payload": op2_jpeg_payload, "op3_context_mixing": op3_context_mixing, "op4_secret_ledger": op4_secret_ledger, "op5_url_rules": op5_url_rules, "op6_mix_sources": op6_mix_sources, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_benchmark_leaks": op10_benchmark_leaks}
 
+#: kind, pattern, group whose length counts, least length, as op4 has them; letters of assign's names in either case, ASCII only.
+_SECRETS = [
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16), ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+]
+
+
+def _secret_kind(rank: int) -> str:
+    kind, pattern, group, least = _SECRETS[rank]
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, {least} AS least, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS g, string_split_regex(t, {p}) AS s FROM d"
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({" UNION ALL ".join(map(_secret_kind, range(len(_SECRETS))))}),
+u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k),
+e AS (
+  SELECT doc_id, kind, rank, list_sum(list_transform(s[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS pos, length(m[i]) AS n
+  FROM u WHERE length(g[i]) >= least),
+f AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || pos || ':' || (pos + n), ',' ORDER BY pos, rank) AS spans,
+         string_agg(kind || ':' || pos || ':' || (pos + n), ',' ORDER BY pos, rank) FILTER (rank < 3) AS base
+  FROM e GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id
+"""
+
 OP5_SQL = r"""
 WITH p AS (
   SELECT page_id, url, coalesce(instr(url, '://'), 0) AS pos FROM pages),
@@ -113,6 +144,21 @@ r AS (
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM r
 """
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reach = e.x),
+c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON d.doc_id = c.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
 OP9_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -123,4 +169,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
 FROM r
 """
 
-ORACLES = {"op5_url_rules": OP5_SQL, "op6_mix_sources": OP6_SQL, "op9_warc": OP9_SQL}
+ORACLES = {"op4_secret_ledger": OP4_SQL, "op5_url_rules": OP5_SQL, "op6_mix_sources": OP6_SQL, "op8_near_duplicates": OP8_SQL, "op9_warc": OP9_SQL}
