@@ -20,9 +20,10 @@ from merset.session import cut
 def greedy_roots(vertices: DataFrame, conflicts: DataFrame) -> DataFrame:
     """enc of the selected vertices (enc, rank); conflicts: a, b in both directions.
 
-    A round is one job: edges that still point from an earlier to a later
-    undecided vertex are written, and vertices that no such edge reaches are
-    roots. Only edges between undecided vertices go to the next round.
+    The state is one table: (v, v) for each undecided vertex, and (a, b) for
+    each conflict of an earlier with a later one. Vertices that only their own
+    row reaches are roots; what roots reach is covered; rows of either leave.
+    A round is one job, which writes what is left and the round's roots.
     """
     of = vertices.select("enc", "rank")
     edges = (
@@ -30,14 +31,13 @@ def greedy_roots(vertices: DataFrame, conflicts: DataFrame) -> DataFrame:
         .join(of.select(F.col("enc").alias("b"), F.col("rank").alias("rb")), "b")
         .where("ra < rb").select("a", "b").distinct()
     )
-    edges, undecided, roots = cut(edges, "mis-edges"), cut(vertices.select("enc"), "mis-left"), []
-    while True:
-        later = edges.select(F.col("b").alias("enc")).distinct()
-        found = cut(undecided.join(later, "enc", "left_anti"), "mis-roots")
-        roots.append(found)
-        covered = edges.join(found.select(F.col("enc").alias("a")), "a", "left_semi").select(F.col("b").alias("enc")).distinct()
-        left = cut(later.join(covered, "enc", "left_anti"), "mis-left")
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, roots)
-        edges = cut(edges.join(left.select(F.col("enc").alias("a")), "a", "left_semi").join(left.select(F.col("enc").alias("b")), "b", "left_semi"), "mis-edges")
-        undecided = left
+    state = cut(vertices.select(F.col("enc").alias("a"), F.col("enc").alias("b")).unionByName(edges), "mis-state")
+    found: list[DataFrame] = []
+    while not state.isEmpty():
+        roots = state.groupBy("b").agg(F.bool_and(F.col("a") == F.col("b")).alias("root")).where("root").select(F.col("b").alias("a"))
+        decided = state.join(roots, "a", "left_semi").select(F.col("b").alias("enc")).distinct()
+        left = state.join(decided.select(F.col("enc").alias("b")), "b", "left_anti").join(decided.select(F.col("enc").alias("a")), "a", "left_anti")
+        both = cut(left.select("a", "b", F.lit(False).alias("root")).unionByName(roots.select("a", F.col("a").alias("b"), F.lit(True).alias("root"))), "mis-state")
+        found.append(both.where("root").select(F.col("a").alias("enc")))
+        state = both.where("not root").select("a", "b")
+    return reduce(DataFrame.unionByName, found) if found else vertices.select("enc")

@@ -58,8 +58,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when the scan has fewer splits than the cluster has cores.
 
     Small inputs come as one split; Python stages over them would run on one
-    core. Inputs with enough splits pass unchanged, without a shuffle.
+    core. Inputs with enough splits pass unchanged, without a shuffle; so do
+    results of shuffles, whose partitions Spark has sized (and which asking for
+    their number would compute).
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
