@@ -184,7 +184,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_docs: int = 40_000, most_term
             a, b, c = zip(*x, strict=True) if x else ((), (), ())
             yield pa.record_batch([pa.array(v, pa.float64()) for v in (a, b, c)] + [batch.column(1)], names=["a", "b", "c", "toxic"])
 
-    x = rows.select(F.col("text").cast("binary"), "toxic").mapInArrow(measure, "a double, b double, c double, toxic int").orderBy("a", "b", "c", "toxic").toPandas()
+    x = rows.select(F.col("text").cast("binary"), "toxic").mapInArrow(measure, "a double, b double, c double, toxic int").toPandas().sort_values(["a", "b", "c", "toxic"])
     draft.curve = _logistic(x[["a", "b", "c"]].to_numpy(), x["toxic"].to_numpy(float))
     return draft
 
