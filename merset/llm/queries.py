@@ -57,7 +57,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85).drop("row_key")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
