@@ -116,7 +116,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 100, sh
     shard = F.least(F.lit(shards - 1), F.floor((key.cast("double") / 2.0**64 + 0.5) * shards)).cast("long")
     told = first_of_payload(narrow, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to", F.lit(0).alias("kind"))
     stream = told.unionByName(rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("kind", F.lit(1))).withColumn("key", key).withColumn("shard", shard)
-    dealt = stream.repartition(shards, "shard").sortWithinPartitions("shard", "key", "page_id", "digest", "kind", "url")
+    dealt = stream.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "key", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files(folder, level, roll_bytes, date)
