@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merset.functions.kmers import check_domain, decode, encode
+from merset.session import spread
 
 SEGMENT = 1024
 
@@ -25,11 +26,11 @@ def kmer_counts(table: DataFrame, k: int, text: str = "text") -> DataFrame:
     rows a task. Null and short texts give nothing.
     """
     check_domain(k)
-    letters = table.select(F.upper(F.regexp_replace(text, "[^ACGTacgt]", "")).alias("s")).where(F.length("s") >= k)
+    letters = spread(table.select(text)).select(F.upper(F.regexp_replace(text, "[^ACGTacgt]", "")).alias("s")).where(F.length("s") >= k)
     starts = F.sequence(F.lit(0), F.floor((F.length("s") - k) / SEGMENT).cast("int"))
     segments = letters.select(F.explode(F.transform(starts, lambda i: F.substring(F.col("s"), i * SEGMENT + 1, F.lit(SEGMENT + k - 1)))).alias("s"))
-    windows = F.transform(F.sequence(F.lit(1), F.length("s") - (k - 1)), lambda i: F.substring(F.col("s"), i, F.lit(k)))
-    return segments.select(F.explode(windows).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    windows = segments.select("s", F.explode(F.sequence(F.lit(1), F.length("s") - (k - 1))).alias("i"))
+    return windows.select(F.substring("s", F.col("i"), F.lit(k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 def kmers_of(table: DataFrame, k: int, text: str = "text", min_count: int = 1) -> DataFrame:
