@@ -295,11 +295,20 @@ def thumbnails(media: list[bytes | None]) -> list[list[tuple[Image, np.ndarray]]
     return [[(x, grids[i, j]) for j, x in enumerate(images)] if images else None for i, images in enumerate(found)]
 
 
+def joined(images: list[tuple[Image, np.ndarray]]) -> tuple[int, int, np.ndarray]:
+    """Pixels across and down and the thumbnail of all images of a value, one below the other; narrower ones get zeros to their right."""
+    if len(images) == 1:
+        return images[0][0].width, images[0][0].height, images[0][1]
+    across = max(g.shape[1] for _, g in images)
+    whole = np.concatenate([g if g.shape[1] == across else np.pad(g, ((0, 0), (0, across - g.shape[1]))) for _, g in images])
+    return max(x.width for x, _ in images), sum(x.height for x, _ in images), whole
+
+
 def average_hash(grid: np.ndarray) -> str:
     """64 bits: which cells of the thumbnail, cut into 8 by 8 cells, are lighter than their mean. Cells of small images repeat."""
     cell = lambda n: np.arange(8) * n // 8
     h, w = grid.shape
-    sums = np.add.reduceat(np.add.reduceat(grid.astype(np.int64), cell(h), axis=0), cell(w), axis=1)
+    sums = np.add.reduceat(np.add.reduceat(grid, cell(h), axis=0, dtype=np.int64), cell(w), axis=1)
     size = lambda n: np.maximum(np.diff(np.append(cell(n), n)), 1)
     means = sums / np.outer(size(h), size(w))
     return np.packbits(means > means.mean()).tobytes().hex()
@@ -319,7 +328,7 @@ def store_and_read(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     A text is stored as UTF-8, zero-padded to a positive multiple of 64 bytes,
     and every column but n_bytes, media_bytes and media_sha256 comes from the
     bytes decoded out of the stored image. feature: pixels across and down, and
-    the thumbnail's average hash, of the first image. Null and empty texts are
+    the thumbnail's average hash, of all images below each other. Null and empty texts are
     64 zero bytes. Texts of more than 524,224 bytes take several images.
     Repeated rows stay; equal texts give equal values; an empty table gives an
     empty result. ``keep`` must not use the names of the results.
@@ -332,8 +341,9 @@ def store_and_read(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
                 media = encode([padded(raw[a:b]) for a, b in zip(starts[i:j], ends[i:j], strict=True)])
                 rows = []
                 for stored, images, n in zip(media, thumbnails(media), ends[i:j] - starts[i:j], strict=True):
-                    back = b"".join(g.tobytes() for _, g in images)
-                    rows.append((int(n), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{images[0][0].width}x{images[0][0].height}:{average_hash(images[0][1])}"))
+                    width, height, grid = joined(images)
+                    back = grid.tobytes()
+                    rows.append((int(n), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{width}x{height}:{average_hash(grid)}"))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 kept = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
@@ -344,12 +354,13 @@ def store_and_read(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
 
 
 def describe(rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """width, height, thumbnail (its bytes, row by row) and thumbnail_hash of a column of baseline JPEGs; null where a value is null or isn't one."""
+    """width, height, thumbnail (its bytes, row by row) and thumbnail_hash of a column of baseline JPEGs, several in a value one below the other; null where a value is null or isn't one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = thumbnails(batch.column(batch.num_columns - 1).to_pylist())
-            told = [(x[0][0].width, x[0][0].height, x[0][1].tobytes(), average_hash(x[0][1])) if x else (None,) * 4 for x in found]
+            whole = [joined(x) if x else None for x in found]
+            told = [(x[0], x[1], x[2].tobytes(), average_hash(x[2])) if x else (None,) * 4 for x in whole]
             cols = [pa.array(c, t) for c, t in zip(zip(*told, strict=True), [pa.int32(), pa.int32(), pa.binary(), pa.string()], strict=True)] if told else []
             if told:
                 yield pa.record_batch([*[batch.column(k) for k in range(batch.num_columns - 1)], *cols], names=[*keep, "width", "height", "thumbnail", "thumbnail_hash"])

@@ -88,3 +88,25 @@ def test_query_columns(spark):
     told = {r["doc_id"]: r for r in jpeg.describe(spark.createDataFrame([(1, bytes(got[2]["media"])), (2, b"no"), (3, None)], "doc_id long, media binary")).collect()}
     assert told[1]["thumbnail"][:3] == b"abc" and (told[1]["width"], told[1]["height"]) == (512, 8) and told[2]["width"] is None and told[3]["thumbnail_hash"] is None
     assert jpeg.store_and_read(df.limit(0)).count() == 0
+
+
+def test_features_are_of_all_images(spark):
+    """Texts alike in their first image only differ in their features, which tell the whole size."""
+    most = jpeg.ROW * jpeg.MOST_ROWS
+    texts = ["ab" * (most // 2) + tail * most for tail in ("a ", " a")] + ["ab" * (most // 2)]
+    texts[1] = texts[1][: most * 2] + "~" * most
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = jpeg.store_and_read(df, with_media=True)
+    got = {r["doc_id"]: r for r in rows.collect()}
+    told = {r["doc_id"]: r for r in jpeg.describe(rows).collect()}
+    assert len({r["feature"] for r in got.values()}) == 3
+    for i, t in enumerate(texts):
+        assert got[i]["feature"] == f"{told[i]['width']}x{told[i]['height']}:{told[i]['thumbnail_hash']}"
+        assert (told[i]["width"], told[i]["height"]) == (512, 8 * len(t) // jpeg.ROW) and bytes(told[i]["thumbnail"]) == t.encode()
+
+
+def test_joined_images_of_different_widths():
+    a, b = (np.full(s, 9, np.uint8) for s in ((2, 3), (1, 5)))
+    image = lambda w, h: type("I", (), {"width": w, "height": h})()
+    width, height, grid = jpeg.joined([(image(24, 16), a), (image(40, 8), b)])
+    assert (width, height) == (40, 24) and grid.tolist() == [[9, 9, 9, 0, 0]] * 2 + [[9] * 5]
