@@ -30,6 +30,18 @@ def test_stages(spark, sf_dir):
     assert sorted(map(str, pipeline.run(spark, sf_dir).collect())) == sorted(map(str, kept["mixing"]))
 
 
+def test_decontamination_keeps_clean_rows_of_null_and_repeated_ids(spark, tmp_path, prose):
+    item = "Question: which river crosses the old town near the stone bridge? Answer: the green Danube"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = lambda: f"{prose(30)} {item} {prose(30)}"
+    clean = [(None, prose(60)), (None, prose(60)), (7, prose(60)), (3, prose(60)), (None, None), (4, None)]
+    rows = [(None, leak()), (7, leak()), (9, leak()), *clean]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, ((i, t, "s") for i, t in clean)))
+
+
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_sql(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
