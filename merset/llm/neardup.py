@@ -3,18 +3,19 @@
 Equal shingle sets are one class from the start. Each of several independent
 trees puts the classes into nodes by a minwise token; nodes that stay large are
 branched again by two more tokens each (chosen by the node), until they are
-small. Documents that share only a passage part ways within a level or two. A
-node that hardly shrinks is a dense group: it is cut at random into blocks of
-bounded size, to each of which the group's most typical classes are added, and
-every tree cuts it differently. So the work is linear in the group.
+small. Documents that share only a passage part ways within a level or two.
 
-Within a node or block all pairs are compared by sketch. First a spanning
+Within a small node all pairs are compared by sketch. First a spanning
 forest of the pairs that pass, the likeliest first, is confirmed on full sets
 and gives components. Then every pair that passes but lies in two components is
-settled on full sets, by counting shared shingles within the block. So no group
+settled on full sets, by counting shared shingles within the node. So no group
 emits its pairs, and no pair that passes is left unsettled unless links already
 connect it. (After Christiani, Pagh and Sivertsen, Scalable and Robust Set
 Similarity Join, 2018.)
+
+A large node that hardly shrinks is a dense group: near copies, or texts around
+one template. Minwise tokens tell nothing more there, so it is joined exactly on
+what its sets do not have in common; see ``dense_links``.
 """
 
 from __future__ import annotations
@@ -36,9 +37,12 @@ TREES = 8
 LEVELS = 5
 LEAF = 256
 BLOCK = 1024
-#: A child with more than this share of its parent is dense. Typical classes that each block of a dense node gets.
+#: A child with more than this share of its parent is dense. Dense nodes are joined exactly in so many of the trees.
 DENSE = 0.5
-TYPICAL = 4
+EXACT_TREES = 6
+#: Sets that a dense node's template is made from, about, and shingles of a block or leaf there.
+SAMPLE = 200
+WIDE = 1 << 20
 _rng = np.random.default_rng(8)
 _MULT = _rng.integers(1, 1 << 63, T, dtype=np.uint64) | np.uint64(1)
 _STEP = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -104,28 +108,40 @@ def _token(position: Column) -> Column:
 
 
 def _populous(rows: DataFrame, tag: str) -> DataFrame:
-    """node, cls, parent_size, size for nodes of two and more; counted before rows are joined, so a large node is a sum a task."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    return cut(rows.join(sizes, "node"), tag)
+    """Rows with size and total (shingles) of nodes of two classes and more.
+
+    Sizes are summed in each task before the shuffle, and written, so that the
+    join is of two plain tables and AQE can split a hot node's side.
+    """
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where("size > 1")
+    return cut(rows.join(cut(sizes, f"{tag}-sizes"), "node"), tag)
 
 
-def _tree_nodes(classes: DataFrame) -> DataFrame:
-    """node, cls, size: nodes that are small, dense, or large at the last level."""
-    first = classes.select("cls", F.explode(F.array(*[F.xxhash64(F.lit(r), _token(F.lit(r))) for r in range(TREES)])).alias("node"))
-    rows = _populous(first.withColumn("parent_size", F.lit(None).cast("long")), "tree-1")
+def tree_nodes(classes: DataFrame) -> DataFrame:
+    """node, cls, n, size, total, exact: small nodes, and those large ones (dense, or still large at the last level) that are to be joined exactly.
+
+    classes: cls, n, sketch. Large nodes are taken from EXACT_TREES trees, on
+    the first of the two paths that led to them: a pair of similarity 0.8 shares
+    one of these with a chance of 1 - (1 - 0.8 ** 2) ** 6, above 0.997.
+    """
+    first = classes.select("cls", "n", F.posexplode(F.array(*[F.xxhash64(F.lit(r), _token(F.lit(r))) for r in range(TREES)])).alias("tree", "node"))
+    rows = _populous(first.withColumns({"parent_size": F.lit(None).cast("long"), "path": F.lit(0)}), "tree-1")
     open_ = (F.col("size") > LEAF) & F.coalesce(F.col("size") <= DENSE * F.col("parent_size"), F.lit(True))
     done = rows.where(~open_)
     for level in range(2, LEVELS + 1):
         large = rows.where(open_)
         if large.isEmpty():
-            return done.select("node", "cls", "size")
+            break
         one = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(T)).cast("int")
         two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(-level)), F.lit(T - 1)).cast("int"), F.lit(T))
         paths = F.array(*[F.xxhash64("node", p, _token(p)) for p in (one, two)])
-        children = large.join(classes.select("cls", "sketch"), "cls").select("cls", F.col("size").alias("parent_size"), F.explode(paths).alias("node"))
+        children = large.join(classes.select("cls", "sketch"), "cls").select("cls", "n", "tree", F.col("size").alias("parent_size"), F.posexplode(paths).alias("path", "node"))
         rows = _populous(children, f"tree-{level}")
         done = done.unionByName(rows.where(~open_))
-    return done.unionByName(rows.where(open_)).select("node", "cls", "size")
+    else:
+        done = done.unionByName(rows.where(open_))
+    exact = F.col("size") > BLOCK
+    return done.where(~exact | ((F.col("tree") < EXACT_TREES) & (F.col("path") == 0))).select("node", "cls", "n", "size", "total", exact.alias("exact"))
 
 
 def _members(groups: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
@@ -133,21 +149,126 @@ def _members(groups: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
     return groups.join(classes, "cls").groupBy("grp").agg(F.collect_list(F.struct("cls", "n_shingles", "sketch", *more)).alias("members"))
 
 
-def comparable(classes: DataFrame) -> DataFrame:
-    """grp, cls: which classes (cls, n_shingles, sketch) are compared with each other."""
-    nodes = _tree_nodes(classes)
-    small = nodes.where(F.col("size") <= BLOCK).select(F.col("node").alias("grp"), "cls")
-    large = nodes.where(F.col("size") > BLOCK)
-    if large.isEmpty():
-        return cut(small.distinct(), "groups")
-    n_blocks = F.ceil(F.col("size") / (BLOCK * 0.9))
-    block = lambda k: F.xxhash64("node", k)
-    blocks = cut(large.select("node", n_blocks.alias("n"), "cls", block(F.pmod(F.xxhash64("cls", "node"), n_blocks)).alias("grp")), "blocks")
-    of = blocks.select("grp", "node", "n").distinct()
-    scored = _members(blocks.select("grp", "cls"), classes).join(of, "grp").select("node", "n", "members").mapInArrow(_typical, "node long, n long, score double, cls binary")
-    best = scored.groupBy("node", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "cls")), False), 1, TYPICAL).alias("best"))
-    added = best.select("node", "n", F.explode("best.cls").alias("cls")).select("cls", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), block)).alias("grp"))
-    return cut(small.unionByName(blocks.select("grp", "cls")).unionByName(added.select("grp", "cls")).distinct(), "groups")
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The 64-bit numbers of each value of a binary or list column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        at = column.offsets.to_numpy()
+        return np.split(column.values.to_numpy().view(np.uint64)[at[0] : at[-1]], at[1:-1] - at[0]) if len(column) else []
+    raw, starts, ends = flat(column)
+    return [np.frombuffer(raw[a:b].tobytes(), np.uint64) for a, b in zip(starts, ends, strict=True)]
+
+
+def _template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some sets of each node to its template: the members of over half of them; and how often a template member is missing, and any other that repeats is there."""
+    for batch in batches:
+        common, known, counts = [], [], []
+        for sets in batch.column("sets"):
+            each = _arrays(sets.values)
+            x, n = np.unique(np.concatenate(each), return_counts=True)
+            on = 2 * n > len(each)
+            n = np.where(on, len(each) - n, n)
+            common.append(x[on].tobytes())
+            known.append(x[on | (n > 1)].tobytes())
+            counts.append(n[on | (n > 1)].astype(np.int64).tobytes())
+        yield pa.record_batch([batch.column("node"), batch.column("nb"), *[pa.array(c, pa.binary()) for c in (common, known, counts)]], names=["node", "nb", "common", "known", "counts"])
+
+
+DIFFERENCES = "node long, nb long, blk long, cls binary, n long, e long, a array<bigint>"
+
+
+def _differences(percent: int):
+    """A block's sets and its node's template to what each set and the template do not share, rarest first, and e: how far from the template that is."""
+
+    def run(rows: pa.Table, template: pa.Table) -> pa.Table:
+        get = lambda name: np.frombuffer(template.column(name)[0].as_py(), np.uint64) if template.num_rows else np.zeros(0, np.uint64)
+        common, known, counts = get("common"), get("known"), get("counts").astype(np.int64)
+        lists = []
+        for s in _arrays(rows.column("s")):
+            a = np.setxor1d(s, common, assume_unique=True)
+            at = np.minimum(np.searchsorted(known, a), max(len(known) - 1, 0))
+            often = np.where(known[at] == a, counts[at], 0) if len(known) else np.zeros(len(a), np.int64)
+            lists.append(a[np.lexsort((a, often))].view(np.int64))
+        size = np.array([len(a) for a in lists], np.int64)
+        e = (100 + percent) * size - (100 - percent) * rows.column("n").to_numpy()
+        a = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
+        return pa.table([*[rows.column(c) for c in ("node", "nb", "blk", "cls", "n")], pa.array(e, pa.int64()), a], names=["node", "nb", "blk", "cls", "n", "e", "a"])
+
+    return run
+
+
+def _linked(percent: int):
+    """Members (cls, e, far, a) of a leaf to a spanning forest of their links; pairs of two that aren't far are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [], []
+            for members in batch.column("members"):
+                m = members.values
+                cls, e = m.field("cls").to_pylist(), m.field("e").to_numpy()
+                part = np.arange(len(cls))
+                counted = _shared(_arrays(m.field("a")))
+                for i in np.flatnonzero(m.field("far").to_numpy(zero_copy_only=False)):
+                    for j in np.flatnonzero((2 * (100 + percent) * counted(i) >= e[i] + e) & (part != part[i])):
+                        if part[i] != part[j]:
+                            part[part == part[j]] = part[i]
+                            us.append(max(cls[i], cls[j]))
+                            vs.append(min(cls[i], cls[j]))
+            yield pa.record_batch({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+    return run
+
+
+def dense_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: links that connect what is linked within each node. large: node, cls, n, size, total; sets: cls, set.
+
+    A node's template C is what over half of a sample of its sets hold. With
+    A = a xor C and e(a) = (100 + percent) |A| - (100 - percent) |a|, two sets
+    are linked iff 2 (100 + percent) |A and B| >= e(a) + e(b), whatever C is.
+    So of the sets with e(a) + e(b) <= 0, all are linked with the one of the
+    smallest e, its centre: one link each. All other links share a member of A
+    and B, and, taking members from the rarest on, one of the first
+    |A| - q + 1, with q the least number that any partner must share. These
+    members name the node's children; children of up to BLOCK classes are
+    compared on their members, larger ones are nodes with a template of their
+    own. A child has about half its parent at most, so this ends; and it is
+    exact for any template. The order of members is the template's, the same
+    for all of a node.
+
+    A node's sets are dealt into blocks of about BLOCK sets and WIDE shingles,
+    and its template is sent to each, so no task holds a node.
+    """
+    spark = large.sparkSession
+    state = large.join(sets.withColumnRenamed("set", "s"), "cls").select("node", "cls", "n", "s", "size", "total")
+    found = spark.createDataFrame([], "u binary, v binary")
+    of_block = lambda k: F.xxhash64("node", k)
+    dealt = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), of_block)).alias("blk")
+    while True:
+        state = state.withColumn("nb", F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("total") / F.lit(WIDE))).cast("long"))
+        state = state.withColumn("blk", of_block(F.pmod(F.xxhash64("cls"), F.col("nb"))))
+        share = F.greatest(F.lit(32) / F.col("size"), F.least(F.lit(SAMPLE) / F.col("size"), F.lit(2 * WIDE) / F.col("total")))
+        sample = state.where(F.pmod(F.xxhash64("cls", "node"), F.lit(1 << 30)) < share * (1 << 30))
+        template = sample.groupBy("node").agg(F.first("nb").alias("nb"), F.collect_list("s").alias("sets")).mapInArrow(_template, "node long, nb long, common binary, known binary, counts binary")
+        blocks = template.select(dealt, "common", "known", "counts")
+        apart = cut(state.select("node", "nb", "blk", "cls", "n", "s").groupBy("blk").cogroup(blocks.groupBy("blk")).applyInArrow(_differences(percent), DIFFERENCES), "dense-differences")
+        centre = apart.groupBy("node").agg(F.min(F.struct("e", "cls")).alias("c"), F.max("nb").alias("nb"))
+        told = apart.join(cut(centre, "dense-centres").select(dealt, F.col("c.e").alias("least"), F.col("c.cls").alias("centre")), "blk")
+        star = told.where("e + least <= 0 AND cls <> centre").select(F.greatest("cls", "centre").alias("u"), F.least("cls", "centre").alias("v"))
+        far = F.col("e") + F.col("least") > 0
+        partner = F.when(far, F.col("least")).otherwise(1 - F.col("least"))
+        must = F.greatest(F.lit(1), F.ceil((F.col("e") + partner) / F.lit(2 * (100 + percent))))
+        first = F.greatest(F.lit(0), F.size("a") - must + 1).cast("int")
+        kids = told.select("node", "cls", far.alias("far"), F.size("a").alias("width"), F.explode(F.slice("a", 1, first)).alias("x")).select(F.xxhash64("node", "x").alias("child"), "node", "cls", "far", "width")
+        sizes = kids.groupBy("child").agg(F.count("*").alias("size"), F.sum("width").alias("total"), F.count_if("far").alias("n_far")).where("size > 1 AND n_far > 0")
+        kids = cut(kids.join(cut(sizes, "dense-sizes"), "child"), "dense-children")
+        leaf = (F.col("size") <= BLOCK) & ((F.col("total") <= 4 * WIDE) | (F.col("size") <= 32))
+        inside = kids.where(leaf).join(apart.select("node", "cls", "e", "a"), ["node", "cls"]).groupBy("child").agg(F.collect_list(F.struct("cls", "e", "far", "a")).alias("members"))
+        found = found.unionByName(cut(star.unionByName(inside.select("members").mapInArrow(_linked(percent), "u binary, v binary")).distinct(), "dense-links"))
+        large = kids.where(~leaf)
+        if large.isEmpty():
+            return found
+        state = large.join(apart.select("node", "cls", "n", "a"), ["node", "cls"]).select(F.col("child").alias("node"), "cls", "n", F.col("a").alias("s"), "size", "total")
 
 
 def _tokens_of(m: pa.StructArray) -> np.ndarray:
@@ -228,6 +349,24 @@ def _unsettled(share: float):
     return run
 
 
+def _shared(sets: list[np.ndarray]):
+    """A function from a set's number to how many members it shares with each of ``sets``."""
+    n = np.array([len(x) for x in sets], np.int64)
+    member = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)[1]
+    order = np.argsort(member, kind="stable")
+    owner = np.repeat(np.arange(len(n)), n)[order]
+    start = np.searchsorted(member[order], np.arange(member.max(initial=-1) + 2))
+    at = np.cumsum(n) - n
+
+    def counted(i: int) -> np.ndarray:
+        own = member[at[i] : at[i] + n[i]]
+        size = start[own + 1] - start[own]
+        where = np.repeat(start[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.bincount(owner[where], minlength=len(n))
+
+    return counted
+
+
 def _settle(percent: int):
     """Groups of (cls, root, set) to a link for each two components that have one there."""
 
@@ -236,20 +375,12 @@ def _settle(percent: int):
             us, vs = [], []
             for members in batch.column("members"):
                 m = members.values
-                cls, sets = m.field("cls").to_pylist(), [np.frombuffer(x, np.uint64) for x in m.field("set").to_pylist()]
+                cls, sets = m.field("cls").to_pylist(), _arrays(m.field("set"))
                 part = np.unique(np.array(m.field("root").to_pylist(), object), return_inverse=True)[1]
-                n = np.array([len(x) for x in sets])
-                shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
-                order = np.argsort(shingle, kind="stable")
-                owner = np.repeat(np.arange(len(n)), n)[order]
-                start = np.searchsorted(shingle[order], np.arange(shingle.max() + 2))
-                at = np.cumsum(n) - n
+                n, counted = np.array([len(x) for x in sets]), _shared(sets)
                 linked: set[tuple[int, int]] = set()
                 for i in np.flatnonzero(part != np.bincount(part).argmax()):
-                    own = shingle[at[i] : at[i] + n[i]]
-                    size = start[own + 1] - start[own]
-                    where = np.repeat(start[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    both = np.bincount(owner[where], minlength=len(n))
+                    both = counted(i)
                     for j in np.flatnonzero((part != part[i]) & (100 * both >= percent * (n[i] + n - both))):
                         key = (int(min(part[i], part[j])), int(max(part[i], part[j])))
                         if key not in linked:
@@ -261,22 +392,8 @@ def _settle(percent: int):
     return run
 
 
-def _typical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The class of each block that agrees most with the block's commonest tokens."""
-    for batch in batches:
-        scores, best = [], []
-        for members in batch.column("members"):
-            m = members.values
-            tokens = _tokens_of(m)
-            share = np.stack([np.bincount(inv)[inv] for inv in (np.unique(tokens[:, k], return_inverse=True)[1] for k in range(T))]).sum(0) / len(tokens)
-            i = int(np.argmax(share))
-            scores.append(float(share[i]))
-            best.append(m.field("cls")[i].as_py())
-        yield pa.record_batch([batch.column("node"), batch.column("n"), pa.array(scores, pa.float64()), pa.array(best, pa.binary())], names=["node", "n", "score", "cls"])
-
-
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """cls, set (its hashes, sorted) for the classes in ``wanted`` (cls, rep: a doc_id that has it)."""
+    """cls, set (its hashes, sorted) for the classes in ``wanted`` (cls, rep_key: the row_key of a row that has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -290,8 +407,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str = "te
                     sets.append(s)
             yield pa.record_batch({"cls": pa.array(kept, pa.binary()), "set": pa.array(sets, pa.binary())})
 
-    texts = docs.select("doc_id", F.col(text).alias("text")).where(F.col("text").isNotNull())
-    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("cls", "text")
+    texts = docs.where(F.col(text).isNotNull()).select(F.xxhash64("doc_id", text).alias("rep_key"), F.col(text).alias("text"))
+    rows = texts.join(wanted, "rep_key").select("cls", "text")
     return rows.mapInArrow(run, "cls binary, set binary").groupBy("cls").agg(F.first("set").alias("set"))
 
 
@@ -325,14 +442,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     of docs are not read.
     """
     rows = cut(signatures(docs, words, text), "signatures")
-    classes = cut(rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+    classes = cut(rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("rep_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
     share = percent / 100
-    groups, sketches = comparable(classes.select("cls", "n_shingles", "sketch")), classes.select("cls", "n_shingles", "sketch")
+    sketches = classes.select("cls", "n_shingles", "sketch")
+    nodes = cut(tree_nodes(classes.select("cls", F.col("n_shingles").alias("n"), "sketch")), "nodes")
+    groups, large = nodes.where("not exact").select(F.col("node").alias("grp"), "cls").distinct(), nodes.where("exact").drop("exact")
     likely = cut(_members(groups, sketches).select("members").mapInArrow(_likely(share), "u binary, v binary").distinct(), "likely")
     ends = likely.select(F.col("u").alias("cls")).unionByName(likely.select(F.col("v").alias("cls"))).distinct()
-    sets = cut(shingle_sets(docs, ends.join(classes.select("cls", "rep"), "cls"), words, text), "shingle-sets")
+    wanted = ends.unionByName(large.select("cls")).distinct()
+    sets = cut(shingle_sets(docs, wanted.join(classes.select("cls", "rep_key"), "cls"), words, text), "shingle-sets")
     x, y = sets.select(F.col("cls").alias("u"), F.col("set").alias("x")), sets.select(F.col("cls").alias("v"), F.col("set").alias("y"))
     links = cut(likely.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u binary, v binary"), "links")
+    if not large.isEmpty():
+        links = links.unionByName(dense_links(large, sets, percent))
     roots = cut(components(links), "roots")
     parted = ends.join(roots, ends["cls"] == roots["vertex"], "left").select("cls", F.coalesce("root", "cls").alias("root"))
     rest = _members(groups, sketches.join(parted, "cls"), "root").where(F.size("members") > 1).select("grp", "members").mapInArrow(_unsettled(share), "grp long, cls binary, root binary")

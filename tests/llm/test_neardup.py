@@ -43,8 +43,10 @@ def near_group(rng, base, n, most):
     return out
 
 
-@pytest.mark.parametrize("width,percent,block", [(3, 85, 1024), (5, 80, 40)])
-def test_against_brute_force(spark, rng, prose, monkeypatch, width, percent, block):
+@pytest.mark.parametrize("width,percent,leaf,block", [(3, 85, 256, 1024), (5, 80, 256, 1024), (3, 85, 4, 12), (5, 80, 4, 12)])
+def test_against_brute_force(spark, rng, prose, monkeypatch, width, percent, leaf, block):
+    """Also with small nodes and blocks, so that all levels run and dense nodes are joined exactly."""
+    monkeypatch.setattr(neardup, "LEAF", leaf)
     monkeypatch.setattr(neardup, "BLOCK", block)
     line = prose(30)
     texts = [prose(int(rng.integers(3, 80))) for _ in range(150)] + [line + " " + prose(40) for _ in range(60)]
@@ -56,9 +58,42 @@ def test_against_brute_force(spark, rng, prose, monkeypatch, width, percent, blo
     want, sizes = brute(texts, width, percent)
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts)], "doc_id long, text string, cls string, component_id int")
     got = {r["doc_id"]: r for r in neardup.near_duplicates(df, width, percent).collect()}
-    wrong = [(i, got[i]["component_id"], want[i]) for i in range(len(texts)) if got[i]["component_id"] != want[i] or got[i]["n_shingles"] != sizes[i] or got[i]["kept"] != (want[i] == i)]
-    assert not wrong if block == 1024 else len(wrong) <= 2
-    assert neardup.drop_near_duplicates(df, width, percent).count() == len(set(want)) if block == 1024 else True
+    assert {i: (r["component_id"], r["n_shingles"], r["kept"]) for i, r in got.items()} == {i: (want[i], sizes[i], want[i] == i) for i in range(len(texts))}
+    assert sorted(r["doc_id"] for r in neardup.drop_near_duplicates(df, width, percent).collect()) == sorted(set(want))
+
+
+def templated(prose, n, fixed=182, tail=20, both=5):
+    """Texts of one template; those of a pair share part of the rest and are linked, no others are."""
+    template, texts = prose(fixed), []
+    for k in range(n // 2):
+        same = " ".join(f"s{k}x{i}" for i in range(both))
+        texts += [f"{template} {same} " + " ".join(f"t{k}y{side}z{i}" for i in range(tail - both)) for side in range(2)]
+    return texts
+
+
+@pytest.mark.parametrize("n,leaf,block", [(600, 4, 16), (3000, 256, 1024)])
+def test_links_within_a_template_are_found(spark, prose, monkeypatch, n, leaf, block):
+    monkeypatch.setattr(neardup, "LEAF", leaf)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = templated(prose, n)
+    sets = [shingles(t, 3) for t in (texts[0], texts[1], texts[2])]
+    like = lambda a, b: 100 * len(a & b) / len(a | b)
+    assert like(sets[0], sets[1]) >= 85 > like(sets[0], sets[2])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 3, 85).collect()}
+    assert all(r in (i, i - i % 2) for i, r in got.items())
+    assert sum(got[i] == i - 1 for i in range(1, n, 2)) >= 0.998 * (n // 2)
+
+
+def test_two_templates_and_near_copies_of_one(spark, rng, prose, monkeypatch):
+    """A dense node with two templates, pairs in each, and copies with words missing."""
+    monkeypatch.setattr(neardup, "LEAF", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    shared = prose(100)
+    texts = [f"{shared} {t}" for t in templated(prose, 160, 120, 20, 6) + templated(prose, 100, 140, 24, 8)] + near_group(rng, f"{shared} {prose(140)}", 80, 14)
+    want, _ = brute(texts, 3, 85)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 3, 85).collect()} == dict(enumerate(want))
 
 
 def test_null_and_repeated_ids(spark, prose):
