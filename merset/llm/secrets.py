@@ -94,6 +94,11 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path) if fs.exists(there) else empty
 
 
+def findings(spark: SparkSession, path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """What the ledger has at a rule version: one row a blob, repeats or not."""
+    return open_ledger(spark, path).where(F.col("rule_version") == rule_version).drop("rule_version").dropDuplicates(["blob"])
+
+
 def scan_versions(docs: DataFrame, ledger_path: str | None = None, rule_version: str = RULE_VERSION, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with blob, spans, n_assign, n_access, n_hex and base_sha256.
 
@@ -104,6 +109,8 @@ def scan_versions(docs: DataFrame, ledger_path: str | None = None, rule_version:
     Null and empty texts are one blob without findings. Repeated rows stay.
     Very long texts are scanned whole. An empty table gives an empty result and
     leaves the ledger as it is. Columns of docs named like results are replaced.
+    A blob that the ledger has more than once at a rule version (two runs at
+    once, or a rerun) counts once.
     """
     spark = docs.sparkSession
     path = ledger_path or scratch(spark, "secret-ledger")
@@ -111,8 +118,7 @@ def scan_versions(docs: DataFrame, ledger_path: str | None = None, rule_version:
     kept = docs.drop(*[c for c in results if c in docs.columns])
     versions = with_blob(kept, text)
     scan_unseen(versions, open_ledger(spark, path) if ledger_path else None, rule_version, text).write.mode("append").parquet(path)
-    ledger = open_ledger(spark, path).where(F.col("rule_version") == rule_version).drop("rule_version")
-    return versions.join(ledger, "blob").select(*kept.columns, *[c for c in results if c != "rule_version"])
+    return versions.join(findings(spark, path, rule_version), "blob").select(*kept.columns, *[c for c in results if c != "rule_version"])
 
 
 def redact(text: str | None, spans: str, mark: str = "[SECRET]") -> str | None:
@@ -129,17 +135,25 @@ def redact(text: str | None, spans: str, mark: str = "[SECRET]") -> str | None:
 
 @F.pandas_udf(StringType())
 def _redacted(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([redact(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
-
-
-def redact_secrets(docs: DataFrame, ledger_path: str | None = None, text: str = "text") -> DataFrame:
-    """``docs``, all rows and columns, with each secret replaced by a mark, and n_chars, if there, made anew for texts that changed."""
-    rest = [c for c in docs.columns if c != text]
-    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(1).alias("_"))
-    found = scan_versions(docs.select(row.alias("_row"), F.col(text).alias("_text")), ledger_path, text="_text")
-    new = _redacted(F.col("_text"), F.col("spans"))
-    told = found.select("_row", "spans", new.alias("_text"))
-    out = {c: F.col(f"_row.`{c}`") for c in rest} | {text: F.col("_text")}
-    if "n_chars" in rest:
-        out["n_chars"] = F.when(F.col("spans") != "", F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return pd.Series([redact(t, s or "") for t, s in zip(text, spans, strict=True)], dtype=object)
+
+
+def redact_secrets(docs: DataFrame, ledger_path: str | None = None, text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """``docs``, all rows and columns, with each secret replaced by a mark, and n_chars, if there, made anew for texts that changed.
+
+    The scan fills the ledger; then only findings with spans meet the rows. AQE
+    broadcasts them while they are small, and the texts stay where they are; if
+    there are many, rows meet them in a join whose hot blobs AQE splits. Null
+    texts stay null; repeated rows stay; columns of any name stay.
+    """
+    spark = docs.sparkSession
+    path = ledger_path or scratch(spark, "secret-ledger")
+    scan_unseen(with_blob(docs.select(F.col(text).alias("text"))), open_ledger(spark, path) if ledger_path else None, rule_version).write.mode("append").parquet(path)
+    secret = cut(findings(spark, path, rule_version).where("spans <> ''").select("blob", "spans"), "secret-spans")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    told = with_blob(docs.select(row.alias("row"), F.col(f"`{text}`").alias("old")), "old").join(secret, "blob", "left")
+    told = told.select("row", "spans", F.when(F.col("spans").isNotNull(), _redacted(F.col("old"), F.col("spans"))).otherwise(F.col("old")).alias("new"))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text: F.col("new")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("spans").isNotNull(), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     return told.select(*[out[c].alias(c) for c in docs.columns])

@@ -38,11 +38,17 @@ def test_ledger_scans_a_blob_once(spark, tmp_path, monkeypatch):
     assert {r["doc_id"]: r["n_assign"] for r in secrets.scan_versions(more, path).collect()} == {500: 1, 501: 1}
     assert secrets.open_ledger(spark, path).count() == len({t or "" for t in TEXTS}) + 1
     assert secrets.scan_versions(more.limit(0)).count() == 0
+    secrets.open_ledger(spark, path).limit(30).coalesce(1).write.mode("append").parquet(path)  # as two runs at once leave it
+    assert secrets.scan_versions(df, path).count() == len(rows) and secrets.scan_versions(more, path).count() == 2
+    assert secrets.redact_secrets(df, path).count() == len(rows)
 
 
 def test_redaction(spark):
-    df = spark.createDataFrame([(1, "a token=abcdefghijklmnop z", 26, 1), (2, "clean", 5, 2), (3, None, None, 3)], "doc_id long, text string, n_chars long, spans int")
+    hot = [(9, "same token=abcdefghijklmnop", 27, 4)] * 40
+    df = spark.createDataFrame([*hot, (1, "a token=abcdefghijklmnop z", 26, 1), (2, "clean", 5, 2), (3, None, None, 3)], "doc_id long, text string, n_chars long, spans int")
     got = {r["doc_id"]: r for r in secrets.redact_secrets(df).collect()}
     assert got[1]["text"] == "a [SECRET] z" and got[1]["n_chars"] == 12 and got[1]["spans"] == 1
     assert got[2]["text"] == "clean" and got[2]["n_chars"] == 5 and got[3]["text"] is None
+    assert secrets.redact_secrets(df).where("text = 'same [SECRET]'").count() == 40 and secrets.redact_secrets(df.limit(0)).count() == 0
+    assert secrets.redact_secrets(df).columns == df.columns
     assert secrets.redact("abcdefgh", "x:1:4,y:2:6") == "a[SECRET]gh"
