@@ -48,7 +48,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{ident(page_id, ordinal)}>", f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{ident(refers_to, 0)}>", f"X-Refers-To-Page: {refers_to}"] if refers_to is not None else []),
-        *([f"X-Page: {page_id}"] if page_id is not None else []), *(["X-No-URI: 1"] if url is None else []),
+        *([f"X-Page: {page_id}"] if page_id is not None else []), *([f"X-No-URI: {'null' if url is None else 'empty'}"] if not url else []),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -88,7 +88,10 @@ class _Files:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temporary, f"{self.path}/{self.name}")
+            final = f"{self.path}/{self.name}"
+            if self.fs.get_file_info(final).type != pyarrow.fs.FileType.NotFound:  # of an attempt whose task was lost; its content is the same
+                self.fs.delete_file(final)
+            self.fs.move(self.temporary, final)
             self.done.append((self.name, self.shard, self.records, self.bytes, self.sha.hexdigest()))
             self.out = None
 
@@ -98,9 +101,11 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 100, sh
 
     Of the rows with equal payloads of at least ``least`` bytes, those with the
     smallest page_id are responses (more than one if that row is repeated); the
-    others revisit it. Null html is an empty payload; null urls get a
-    ``urn:page:`` name; rows without a page_id are written and, if equal to a
-    numbered page, revisit it. An empty table gives an empty manifest. Other
+    others revisit it. Null html is an empty payload; null and empty urls get a
+    ``urn:page:`` name and are read back as they were; line breaks in a url are
+    written, and read back, as %0D and %0A. Rows without a page_id are written
+    (dealt by their payload) and, if equal to a numbered page, revisit it. A task that
+    is tried again writes the same files over. An empty table gives an empty manifest. Other
     columns of pages are not read. shard_bytes counts payloads, roll_bytes
     compressed records; a record is never cut.
     """
@@ -112,7 +117,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 100, sh
     narrow = rows.select("page_id", "digest", F.length("payload").alias("bytes"))
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    key = F.xxhash64(F.coalesce(F.col("page_id"), F.lit(-1)))
+    key = F.xxhash64("page_id", F.when(F.col("page_id").isNull(), F.col("digest")))
     shard = F.least(F.lit(shards - 1), F.floor((key.cast("double") / 2.0**64 + 0.5) * shards)).cast("long")
     told = first_of_payload(narrow, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to", F.lit(0).alias("kind"))
     stream = told.unionByName(rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("kind", F.lit(1))).withColumn("key", key).withColumn("shard", shard)
@@ -134,6 +139,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 100, sh
             yield pa.record_batch({"file": pa.array(names), "shard": pa.array(ats, pa.int64()), "records": pa.array(records, pa.int64()), "bytes": pa.array(sizes, pa.int64()), "sha256": pa.array(shas)})
 
     dealt.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    left = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_temporary")
+    left.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(left, True)  # of lost attempts; every file that counts has its name
     return folder
 
 
@@ -141,14 +148,15 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each gzip member's record; the block's digest is checked."""
     view, at = memoryview(data), 0
     while at < len(view):
-        d, text = zlib.decompressobj(31), b""
+        d, parts = zlib.decompressobj(31), []
         while not d.eof:
             piece = view[at : at + (1 << 16)]
             if not len(piece):
                 raise ValueError("archive ends within a record")
-            text += d.decompress(piece)
+            parts.append(d.decompress(piece))
             at += len(piece)
         at -= len(d.unused_data)
+        text = b"".join(parts)
         head, _, rest = text.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
@@ -186,7 +194,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> D
                     if response and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                         raise ValueError(f"broken payload of {headers['warc-record-id']}")
                     page, refers = headers.get("x-page"), headers.get("x-refers-to-page")
-                    rows.append((page and int(page), None if "x-no-uri" in headers else headers["warc-target-uri"], size, digest, headers["warc-type"], refers and int(refers), payload if response else None))
+                    rows.append((page and int(page), {"null": None, "empty": ""}.get(headers.get("x-no-uri"), headers["warc-target-uri"]), size, digest, headers["warc-type"], refers and int(refers), payload if response else None))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
                 yield pa.record_batch(cols[: 7 if with_payload else 6], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 7 if with_payload else 6])

@@ -10,7 +10,7 @@ from merset.llm import warc
 def pages(spark, rng, n=120):
     rows = [(i, f"http://h/{i}", "<p>" + "x" * int(rng.integers(0, 30)) + str(i) * 60 + "</p>", 0) for i in range(n)]
     rows += [(1000 + i, "http://c", "copy " * 40, 0) for i in range(30)] + [(2000 + i, None, "tiny", 0) for i in range(3)]
-    rows += [(3000, "http://n\r\nx: y", None, 0), (3001, "http://é/", "é" * 80, 0), (None, "http://none", "copy " * 40, 0), (3002, "u", "y" * 2_000_000, 0), (5, rows[5][1], rows[5][2], 0)]
+    rows += [(3000, "http://n\r\nx: y", None, 0), (3001, "http://é/", "é" * 80, 0), (None, "http://none", "copy " * 40, 0), (3002, "u", "y" * 2_000_000, 0), (3003, "", "empty url", 0), (5, rows[5][1], rows[5][2], 0)]
     return rows, spark.createDataFrame(rows, "page_id long, url string, html string, shard int")
 
 
@@ -34,7 +34,7 @@ def test_round_trip_and_revisits(spark, rng, tmp_path):
         assert (r["record_type"], r["refers_to"]) == (("revisit", first[h]) if again else ("response", None))
         assert r["payload"] is None if again else bytes(r["payload"]) == raw
         assert r["url"] == (None if u is None else u.replace("\r", "%0D").replace("\n", "%0A"))
-    assert not os.listdir(tmp_path / "a/_temporary")
+    assert not os.path.exists(tmp_path / "a/_temporary")
     for f in (tmp_path / "a").glob("*.warc.gz"):
         assert gzip.open(f).read().startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
 
@@ -48,6 +48,14 @@ def test_same_input_gives_same_files(spark, rng, tmp_path):
     assert names[0] == names[1] and len(names[0]) > 5
 
 
+def test_a_second_attempt_writes_over_the_first(spark, tmp_path):
+    for data in (b"of an attempt that was lost", b"of the next one"):
+        files = warc._Files(f"file://{tmp_path}", 4, 1000, "2000-01-01T00:00:00Z")
+        files.write(0, data)
+        files.close()
+    assert gzip.open(tmp_path / "part-000000-00000.warc.gz").read().endswith(b"of the next one")
+
+
 def test_damage_is_noticed_and_empty_is_fine(spark, rng, tmp_path):
     _, df = pages(spark, rng, 10)
     warc.write_warc(df, f"file://{tmp_path}/a")
