@@ -44,6 +44,17 @@ def test_order_is_by_hash(spark):
     assert [got[i] for i in keys] == sorted(got.values(), reverse=True) and sum(got.values()) == 250
 
 
+def test_rows_of_one_id_are_cut_too(spark, rng):
+    """A third of the rows without an id, many alike: budgets are met with up to five rows summed one by one in a task."""
+    rows = [(None, "a b " * int(rng.integers(1, 4)), "s") for i in range(120)] + [(i, "c " * int(rng.integers(1, 9)), ["s", "t"][i % 2]) for i in range(200)] + [(7, "d e f", "t")] * 90
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    total, target = brute(rows)
+    few, many = (mix_sources(df, most_rows=n).collect() for n in (5, 50_000))
+    for s in total:
+        assert abs(sum(r["taken"] for r in few if r["source"] == s) - target[s]) <= 0.5
+    assert sorted(map(str, few)) == sorted(map(str, many))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix_sources(df).count() == 0
