@@ -20,8 +20,8 @@ def decode(enc: Column, k: int) -> Column:
 
 
 def encode(kmer: Column) -> Column:
-    """ACGT is 27."""
-    return F.conv(F.translate(kmer, BASES, "0123"), 4, 10).cast("bigint")
+    """ACGT is 27; null for null, empty and too long strings and those with other letters."""
+    return F.when(kmer.rlike("^[ACGT]{1,30}$"), F.conv(F.translate(kmer, BASES, "0123"), 4, 10).cast("bigint"))
 
 
 def profile(kmer: Column, k: int) -> dict[str, Column]:

@@ -1,13 +1,21 @@
-"""Conflicts: pairs of k-mers within distance d, always by equi-joins on blocks and never by comparing all pairs."""
+"""Conflicts: pairs of k-mers within distance d, by an equi-join on pieces.
 
-from __future__ import annotations
+Cut a k-mer into d + 1 pieces. If another of the same length is within d
+substitutions, it has one of the pieces at the same place; within d edits, it
+has one of them moved by few places, and the i-th piece by min(i, d - i) at
+most (Li, Deng, Wang and Feng, Pass-Join, 2011). So a k-mer has at most
+(d + 1) (d + 2) / 2 keys, whatever k is, and a piece of k / (d + 1) bases is rare
+unless d is near k. A pair is taken where its first equal piece is, so no
+duplicates have to be removed, and its distance is worked out only where the
+bounds of the profiles leave it open.
+"""
 
-from itertools import combinations
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merset.functions.kmers import lower_bound, profile, upper_bound, within
+from merset.functions.kmers import distance, lower_bound, profile, upper_bound, within
 
 
 def profiled(universe: DataFrame, k: int) -> DataFrame:
@@ -15,38 +23,54 @@ def profiled(universe: DataFrame, k: int) -> DataFrame:
     return universe.withColumns(profile(F.col("kmer"), k))
 
 
-def by_profile(universe: DataFrame, k: int, d: int, metric: str) -> DataFrame:
-    """a, b (enc) of ordered pairs within d, by the profile bounds.
-
-    Profiles of such pairs differ by at most d in each base, so the join is on
-    buckets of width d + 1 of two bases, one side taking the neighbouring
-    buckets too. Pairs whose profiles add up to at most d need no distance.
-    """
-    p = profiled(universe, k)
-    bucket = lambda x: F.floor(F.col(x) / (d + 1))
-    near = lambda x: F.explode(F.array(bucket(x) - 1, bucket(x), bucket(x) + 1))
-    a = p.withColumn("ba", bucket("da")).withColumn("bc", bucket("dc")).alias("a")
-    b = p.withColumn("ba", near("da")).withColumn("bc", near("dc")).alias("b")
-    close = (lower_bound("a", "b") <= d) & (F.col("a.enc") != F.col("b.enc"))
-    joined = a.join(b, (F.col("a.ba") == F.col("b.ba")) & (F.col("a.bc") == F.col("b.bc")) & close)
-    sure = F.when(upper_bound("a", "b") <= d, F.lit(True)).otherwise(within(metric, d, "a", "b"))
-    return joined.where(sure).select(F.col("a.enc").alias("a"), F.col("b.enc").alias("b"))
-
-
-def by_deletion(universe: DataFrame, k: int, d: int, metric: str) -> DataFrame:
-    """a, b (enc) of ordered pairs within d, by what is left of them without d bases.
-
-    Strings of equal length within d edits share a subsequence of k - d bases,
-    so equal leftovers block them; for Hamming, d + 1 stretches of bases, of
-    which one must be equal. Each pair is verified once.
-    """
-    if metric == "hamming":
-        cuts = [round(i * k / (d + 1)) for i in range(d + 2)]
-        keys = [F.concat(F.lit(f"{x}:"), F.substring("kmer", x + 1, y - x)) for x, y in zip(cuts, cuts[1:], strict=False)]
-    else:
-        keys = [F.concat(*[F.substring("kmer", i + 1, 1) for i in kept]) for kept in combinations(range(k), k - d)]
-    blocks = universe.select("enc", "kmer", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
-    pairs = blocks.alias("a").join(blocks.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.enc") != F.col("b.enc")))
-    once = pairs.select("a.enc", "a.kmer", F.col("b.enc").alias("b_enc"), F.col("b.kmer").alias("b_kmer")).distinct()
-    told = once.select(F.struct("enc", "kmer").alias("a"), F.struct(F.col("b_enc").alias("enc"), F.col("b_kmer").alias("kmer")).alias("b"))
-    return told.where(within(metric, d, "a", "b")).select(F.col("a.enc").alias("a"), F.col("b.enc").alias("b"))
+def pieces(k: int, d: int) -> list[tuple[int, int]]:
+    """(start, length) of d + 1 pieces; the longer ones in the middle, which are looked for at the most places."""
+    size, more = divmod(k, d + 1)
+    middle = sorted(range(d + 1), key=lambda i: (abs(2 * i - d), i))[:more]
+    lengths = [size + (i in middle) for i in range(d + 1)]
+    return [(sum(lengths[:i]), n) for i, n in enumerate(lengths)]
+
+
+def piece_keys(k: int, d: int, metric: str) -> list[tuple[int, int, int]]:
+    """(start in one k-mer, start in the other, length) of each piece and move."""
+    out = []
+    for i, (start, n) in enumerate(pieces(k, d)):
+        most = min(i, d - i) if metric == "edit" else 0
+        out += [(start, start + move, n) for move in range(-most, most + 1) if 0 <= start + move <= k - n]
+    return out
+
+
+def _exploded(rows: DataFrame, keys: list[tuple[int, int, int]], side: int) -> DataFrame:
+    parts = F.array(*[F.substring("kmer", key[side] + 1, key[2]) for key in keys])
+    return rows.select("*", F.posexplode(parts).alias("at", "piece"))
+
+
+def sharing(left: DataFrame, right: DataFrame, k: int, d: int, metric: str) -> DataFrame:
+    """a, b (structs of each side's columns) of the pairs that share a piece, each once; among them all within d. Sides have enc and kmer; a k-mer is not paired with itself."""
+    keys = piece_keys(k, d, metric)
+    a, b = _exploded(left, keys, 0).alias("a"), _exploded(right, keys, 1).alias("b")
+    joined = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.enc") != F.col("b.enc")))
+    equal = F.array(*[F.substring("a.kmer", x + 1, n) == F.substring("b.kmer", y + 1, n) for x, y, n in keys])
+    side = lambda x, rows: F.struct(*[F.col(f"{x}.{c}").alias(c) for c in rows.columns]).alias(x)
+    return joined.where(F.array_position(equal, True) == F.col("a.at") + 1).select(side("a", left), side("b", right))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, k: int, d: int, metric: str) -> DataFrame:
+    """As ``sharing``, of the pairs within d only: bounds reject, bounds accept, and the distance decides the rest."""
+    pairs = sharing(profiled(left, k), profiled(right, k), k, d, metric)
+    return pairs.where(F.when(lower_bound("a", "b") > d, False).when(upper_bound("a", "b") <= d, True).otherwise(within(metric, d, "a", "b")))
+
+
+def conflicts(universe: DataFrame, k: int, d: int, metric: str, bounds: bool = True) -> DataFrame:
+    """a, b (enc) of ordered pairs within d; with bounds, distances are worked out only where they leave it open."""
+    rows = universe.select("enc", "kmer")
+    pairs = near_pairs(rows, rows, k, d, metric) if bounds else sharing(rows, rows, k, d, metric).where(within(metric, d, "a", "b"))
+    return pairs.select(F.col("a.enc").alias("a"), F.col("b.enc").alias("b"))
+
+
+def first_covers(candidates: DataFrame, members: DataFrame, k: int, d: int, metric: str, dist: Column | None = None) -> DataFrame:
+    """enc, cover, cover_kmer, dist: for each candidate (enc, kmer) within d of a member (enc, kmer, place), the member of the lowest place; a member covers itself."""
+    found = near_pairs(candidates.select("enc", "kmer"), members.select("enc", "kmer", "place"), k, d, metric)
+    of = F.struct(F.col("b.place").alias("place"), F.col("b.enc").alias("cover"), F.col("b.kmer").alias("cover_kmer"), distance(metric, "a", "b").cast("int").alias("dist"))
+    own = candidates.select("enc").join(members.select("enc", "kmer", "place"), "enc").select("enc", F.struct("place", F.col("enc").alias("cover"), F.col("kmer").alias("cover_kmer"), F.lit(0).alias("dist")).alias("m"))
+    return found.select(F.col("a.enc").alias("enc"), of.alias("m")).unionByName(own).groupBy("enc").agg(F.min("m").alias("m")).select("enc", "m.cover", "m.cover_kmer", "m.dist")

@@ -6,24 +6,25 @@ conflicts are found.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merset.functions.kmers import check_domain, code_of, is_kmer, substitutions, vertex, within
+from merset.functions.kmers import check_domain, code_of, encode, is_kmer, substitutions, vertex, within
 from merset.operators.ball import balls
-from merset.operators.conflict import by_deletion, by_profile
+from merset.operators.conflict import conflicts, first_covers, near_pairs
 from merset.operators.neighbors import unit_neighbors
-from merset.operators.orders import ranked
+from merset.operators.orders import placed, ranked
 from merset.operators.rootset import greedy_roots
 from merset.session import cut
 from merset.sources.universe import full_universe
 
 METRICS, METHODS, ORDERS = ("edit", "hamming"), ("simple", "improved", "bfs"), ("lex", "affine", "random")
-#: Members that the simple method broadcasts at most; beyond, chunks meet them by a join on blocks.
-MOST_BROADCAST = 100_000
-#: Share of the rank's range in the simple method's chunks before the last.
+#: Members that the simple method compares with every candidate, by broadcast; beyond, they meet by a join on pieces.
+MOST_BROADCAST = 1_000
+#: Where the chunks of the order after the first begin, as shares of the rank's range.
 CHUNKS = (1 / 16, 1 / 4)
 
 
@@ -31,33 +32,53 @@ def not_covered(candidates: DataFrame, members: DataFrame, k: int, d: int, metri
     """Candidates (enc, kmer, rank) further than d from all members: an anti join that stops at the first match."""
     if members.count() <= MOST_BROADCAST:
         return candidates.alias("c").join(F.broadcast(members.select("enc", "kmer")).alias("m"), within(metric, d, "c", "m"), "left_anti")
-    both = candidates.select("enc", "kmer", F.lit(False).alias("m")).unionByName(members.select("enc", "kmer", F.lit(True).alias("m")))
-    pairs = by_deletion(both, k, d, metric).join(members.select(F.col("enc").alias("b")), "b", "left_semi")
-    near = pairs.select(F.col("a").alias("enc")).unionByName(members.select("enc")).distinct()
+    near = near_pairs(candidates.select("enc", "kmer"), members.select("enc", "kmer"), k, d, metric).select("a.enc").unionByName(members.select("enc")).distinct()
     return candidates.join(near, "enc", "left_anti")
 
 
-def _simple(vertices: DataFrame, k: int, d: int, metric: str) -> DataFrame:
-    """Chunks of the order against the members so far, then greedy rounds among each chunk's survivors."""
-    first, last = vertices.agg(F.min("rank.at"), F.max("rank.at")).first()
+def _chunks(vertices: DataFrame) -> Iterator[DataFrame]:
+    """Parts of the order, one after the other; a pinned vertex is in the first."""
+    first, last, lowest = vertices.agg(F.min("rank.at"), F.max("rank.at"), F.max("rank.pin")).first()
     if first is None:
-        return vertices
+        return
     chunk = reduce(lambda c, x: c + (F.col("rank.at") >= first + int((last - first + 1) * x)).cast("int"), CHUNKS, F.lit(0))
-    lowest = vertices.agg(F.max("rank.pin")).first()[0]
-    pinned = F.col("rank.pin") < lowest
-    dealt = cut(vertices.withColumn("chunk", F.when(pinned, 0).otherwise(chunk)), "mis-chunks")
-    members: list[DataFrame] = []
+    dealt = cut(vertices.withColumn("chunk", F.when(F.col("rank.pin") < lowest, 0).otherwise(chunk)), "mis-chunks")
     for i in range(len(CHUNKS) + 1):
-        part = dealt.where(F.col("chunk") == i).drop("chunk")
+        yield dealt.where(F.col("chunk") == i).drop("chunk")
+
+
+def _simple(vertices: DataFrame, k: int, d: int, metric: str) -> DataFrame:
+    """Chunks of the order against the members so far, then greedy rounds among each chunk's survivors."""
+    members: list[DataFrame] = []
+    for part in _chunks(vertices):
         if members:
             part = cut(not_covered(part, reduce(DataFrame.unionByName, members), k, d, metric), "mis-survivors")
-        members.append(cut(greedy_roots(part, by_deletion(part, k, d, metric)).join(part, "enc"), "mis-members"))
-    return reduce(DataFrame.unionByName, members)
+        members.append(cut(greedy_roots(part, conflicts(part, k, d, metric, bounds=False)).join(part, "enc"), "mis-members"))
+    return reduce(DataFrame.unionByName, members) if members else vertices
 
 
 def _improved(vertices: DataFrame, k: int, d: int, metric: str) -> DataFrame:
-    """Conflicts by profile bounds, then greedy rounds over them."""
-    return greedy_roots(vertices, by_profile(vertices, k, d, metric)).join(vertices, "enc")
+    """As the simple method, with less to compare: neighbours' covers first, then bounds.
+
+    A chunk's k-mers are first tried against the members that cover one of
+    their substitution neighbours; what is left meets the members by the
+    bounds, and its first cover is kept for the chunks after it; what is still left goes
+    through greedy rounds. Only conflicts among survivors are ever stored.
+    """
+    members: list[DataFrame] = []
+    known: list[DataFrame] = []
+    for part in _chunks(vertices):
+        if members:
+            taken = reduce(DataFrame.unionByName, members)
+            heard = cut(cover_from_neighbors(part, reduce(DataFrame.unionByName, known), k, d, metric).join(taken.select(F.col("enc").alias("cover"), F.col("kmer").alias("cover_kmer")), "cover").select("enc", "cover", "cover_kmer"), "mis-heard")
+            asked = part.join(heard, "enc", "left_anti")
+            found = cut(first_covers(asked, taken.select("enc", "kmer", F.col("rank").alias("place")), k, d, metric).select("enc", "cover", "cover_kmer"), "mis-covers")
+            known += [heard, found]
+            part = cut(asked.join(found, "enc", "left_anti"), "mis-survivors")
+        roots = cut(greedy_roots(part, conflicts(part, k, d, metric)).join(part, "enc"), "mis-members")
+        members.append(roots)
+        known.append(roots.select("enc", F.col("enc").alias("cover"), F.col("kmer").alias("cover_kmer")))
+    return reduce(DataFrame.unionByName, members) if members else vertices
 
 
 def _spread_least(values: DataFrame, k: int, metric: str) -> DataFrame:
@@ -93,6 +114,10 @@ def find_mis(universe: DataFrame | SparkSession, k: int, d: int, metric: str = "
     universe: k-mers to choose from (enc, kmer), or a session for all 4^k. The
     set depends on the universe and the order only. The improved method with
     edits and an order other than ``lex`` selects A...A first if it is there.
+
+    Rows whose kmer is null, not of k letters, or has a letter other than A, C,
+    G and T are left out; repeated rows count once; enc is made anew from kmer;
+    other columns are not read. An empty universe gives no rows.
     """
     check_domain(k, d)
     if metric not in METRICS or method not in METHODS or order not in ORDERS:
@@ -100,9 +125,10 @@ def find_mis(universe: DataFrame | SparkSession, k: int, d: int, metric: str = "
     if isinstance(universe, SparkSession):
         universe = full_universe(universe, k)
     pin = order != "lex" and (metric, method) == ("edit", "improved")
-    vertices = cut(ranked(universe.select("enc", "kmer").distinct(), k, order, seed, pin), "mis-vertices")
+    sound = universe.where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$")).select("kmer").distinct().select(encode(F.col("kmer")).alias("enc"), "kmer")
+    vertices = cut(ranked(sound, k, order, seed, pin), "mis-vertices")
     members = {"simple": _simple, "improved": _improved, "bfs": _bfs}[method](vertices, k, d, metric)
-    return members.select(F.row_number().over(Window.orderBy("rank")).cast("bigint").alias("sel_idx"), "enc", "kmer")
+    return placed(members, "sel_idx").select(F.col("sel_idx").cast("bigint").alias("sel_idx"), "enc", "kmer")
 
 
 def assign(universe: DataFrame, mis: DataFrame, k: int, d: int, metric: str) -> DataFrame:

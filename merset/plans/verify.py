@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merset.operators.ball import balls
-from merset.operators.conflict import by_deletion
+from merset.operators.conflict import conflicts, near_pairs
 
 
 def dependent_pairs(mis: DataFrame, k: int, d: int, metric: str) -> DataFrame:
     """a, b: members within d of each other; none if the set is independent."""
-    return by_deletion(mis.select("enc", "kmer"), k, d, metric)
+    return conflicts(mis, k, d, metric)
 
 
 def uncovered(universe: DataFrame, mis: DataFrame, k: int, d: int, metric: str) -> DataFrame:
     """enc, kmer further than d from all members; none if the set is maximal."""
-    near = balls(mis, k, d, metric).select(F.col("dst").alias("enc")).distinct()
+    near = near_pairs(universe.select("enc", "kmer"), mis.select("enc", "kmer"), k, d, metric).select("a.enc").unionByName(mis.select("enc")).distinct()
     return universe.join(near, "enc", "left_anti")

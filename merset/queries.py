@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merset.functions.kmers import code_of, decode, deletions, distance, insertions, is_kmer, lower_bound, profile, substitutions, upper_bound, vertex, within
-from merset.operators.ball import named_balls
-from merset.operators.conflict import by_deletion, by_profile, profiled
+from merset.functions.kmers import code_of, decode, deletions, distance, insertions, is_kmer, lower_bound, profile, substitutions, upper_bound, vertex
+from merset.operators.ball import balls, named_balls
+from merset.operators.conflict import conflicts, first_covers, profiled
 from merset.operators.neighbors import unit_edges
-from merset.operators.orders import ranked
+from merset.operators.orders import placed, ranked
 from merset.plans.methods import assign, cover_from_neighbors, find_mis
 from merset.plans.report import size
 from merset.plans.verify import dependent_pairs, uncovered
@@ -35,28 +35,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def universe(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return cut(kmers_of(documents(spark, sf_dir), k), "universe")
+def universe(spark: SparkSession, sf_dir: str, k: int, min_count: int = 1) -> DataFrame:
+    return cut(kmers_of(documents(spark, sf_dir), k, min_count=min_count), "universe")
 
 
-def km_sql(k: int) -> str:
-    """CTEs: kc (kmer, n) and km (enc, kmer) of the documents."""
+def km_sql(k: int, min_count: int = 1) -> str:
+    """CTEs: kc (kmer, n) and km (enc, kmer) of the documents' k-mers that occur ``min_count`` times."""
     enc = " + ".join(f"(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1) * {4 ** (k - 1 - i)}" for i in range(k))
     return f"""
 letters AS (SELECT upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS s FROM documents WHERE text IS NOT NULL),
 windows AS (SELECT unnest(list_transform(range(1, length(s) - {k} + 2), lambda i: substr(s, i, {k}))) AS kmer FROM letters WHERE length(s) >= {k}),
 kc AS (SELECT kmer, count(*) AS n FROM windows GROUP BY kmer),
-km AS (SELECT ({enc})::BIGINT AS enc, kmer FROM kc)"""
+km AS (SELECT ({enc})::BIGINT AS enc, kmer FROM kc WHERE n >= {min_count})"""
 
 
 SQL_DISTANCE = {"edit": "levenshtein", "hamming": "hamming"}
 
 
-def mis_sql(k: int, d: int, metric: str, order: str = "lex", pin: bool = False) -> str:
+def mis_sql(k: int, d: int, metric: str, order: str = "lex", pin: bool = False, min_count: int = 1) -> str:
     """CTEs up to mis (sel_idx, kmer): sequential greedy, one k-mer a step."""
     rank = "enc" if order == "lex" else f"(2654435761 * enc + 12345) % {4**k}"
     first = "CASE WHEN enc = 0 THEN 0 ELSE 1 END, " if pin else ""
-    return f"""{km_sql(k)},
+    return f"""{km_sql(k, min_count)},
 o AS MATERIALIZED (SELECT kmer, row_number() OVER (ORDER BY {first}{rank}, enc) AS rn FROM km),
 g(i, mis) AS (
   SELECT 0::BIGINT, []::VARCHAR[]
@@ -95,15 +95,15 @@ def _(spark, sf_dir):
     return each.select("kmer", "b.base", distance("edit", "a", "b").alias("edit"), distance("hamming", "a", "b").alias("hamming"), "b.component")
 
 
-def _pairs(name: str, metric: str, how, k: int = 4, d: int = 2) -> None:
+def _pairs(name: str, metric: str, bounds: bool, k: int = 4, d: int = 2) -> None:
     @query(name, f"WITH {km_sql(k)} SELECT a.kmer AS a, b.kmer AS b FROM km a JOIN km b ON a.enc <> b.enc AND {SQL_DISTANCE[metric]}(a.kmer, b.kmer) <= {d}")
     def _(spark, sf_dir):
-        return how(universe(spark, sf_dir, k), k, d, metric).select(decode(F.col("a"), k).alias("a"), decode(F.col("b"), k).alias("b"))
+        return conflicts(universe(spark, sf_dir, k), k, d, metric, bounds).select(decode(F.col("a"), k).alias("a"), decode(F.col("b"), k).alias("b"))
 
 
 for _metric in ("edit", "hamming"):
-    _pairs(f"bounded_conflict_pairs_{_metric}_k4_d2", _metric, by_profile)
-    _pairs(f"blocked_conflict_pairs_{_metric}_k5_d2", _metric, by_deletion, 5, 2)
+    _pairs(f"bounded_conflict_pairs_{_metric}_k4_d2", _metric, True)
+    _pairs(f"blocked_conflict_pairs_{_metric}_k5_d2", _metric, False, 5, 2)
 
 
 @query(
@@ -114,17 +114,38 @@ FROM km a JOIN km b ON a.enc <> b.enc AND levenshtein(a.kmer, b.kmer) <= 3 GROUP
 def _(spark, sf_dir):
     u = universe(spark, sf_dir, 4)
     side = lambda x: u.select(F.col("enc").alias(x), F.struct("enc", "kmer").alias(f"{x}_"))
-    pairs = by_deletion(u, 4, 3, "edit").join(side("a"), "a").join(side("b"), "b")
+    pairs = conflicts(u, 4, 3, "edit").join(side("a"), "a").join(side("b"), "b")
     return pairs.groupBy(distance("edit", "a_", "b_").alias("edit"), distance("hamming", "a_", "b_").alias("hamming")).agg(F.count("*").alias("n"))
 
 
-@query("profile_bound_violations_k5", "SELECT 0::BIGINT AS below, 0::BIGINT AS above")
+_DEPTH = {x: f"length(replace({{}}.kmer, '{x}', ''))" for x in "ACGT"}
+_LOWER = "greatest(" + ", ".join(f"abs({d.format('a')} - {d.format('b')})" for d in _DEPTH.values()) + ")"
+_UPPER = "least(" + ", ".join(f"{d.format('a')} + {d.format('b')}" for d in _DEPTH.values()) + ")"
+
+
+@query(
+    "profile_bounds_k5",
+    f"""WITH {km_sql(5)} SELECT levenshtein(a.kmer, b.kmer)::INT AS edit, {_LOWER}::INT AS lower, {_UPPER}::INT AS upper, count(*) AS n
+FROM km a JOIN km b ON a.enc <> b.enc AND levenshtein(a.kmer, b.kmer) <= 3 GROUP BY 1, 2, 3""",
+)
+def _(spark, sf_dir):
+    u = profiled(universe(spark, sf_dir, 5), 5)
+    side = lambda x: u.select(F.col("enc").alias(x), F.struct("enc", "kmer", "da", "dc", "dg", "dt").alias(f"{x}_"))
+    pairs = conflicts(u, 5, 3, "edit", bounds=False).join(side("a"), "a").join(side("b"), "b")
+    return pairs.groupBy(distance("edit", "a_", "b_").alias("edit"), lower_bound("a_", "b_").alias("lower"), upper_bound("a_", "b_").alias("upper")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "profile_bound_violations_k5",
+    f"""WITH {km_sql(5)}, p AS (SELECT levenshtein(a.kmer, b.kmer) AS e, hamming(a.kmer, b.kmer) AS h, {_LOWER} AS lo, {_UPPER} AS hi FROM km a JOIN km b ON a.enc <> b.enc AND levenshtein(a.kmer, b.kmer) <= 3)
+SELECT count(*) AS pairs, count(*) FILTER (lo > e OR lo > h) AS below, count(*) FILTER (hi < e OR hi < h) AS above FROM p""",
+)
 def _(spark, sf_dir):
     u = profiled(universe(spark, sf_dir, 5), 5)
     side = lambda x: u.select(F.col("enc").alias(x), F.struct("enc", "kmer", "da", "dc", "dg", "dt").alias(f"{x}_"))
-    pairs = by_deletion(u.select("enc", "kmer"), 5, 3, "edit").join(side("a"), "a").join(side("b"), "b")
+    pairs = conflicts(u, 5, 3, "edit", bounds=False).join(side("a"), "a").join(side("b"), "b")
     e, h = distance("edit", "a_", "b_"), distance("hamming", "a_", "b_")
-    return pairs.agg(F.count_if((lower_bound("a_", "b_") > e) | (lower_bound("a_", "b_") > h)).alias("below"), F.count_if((upper_bound("a_", "b_") < e) | (upper_bound("a_", "b_") < h)).alias("above"))
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if((lower_bound("a_", "b_") > e) | (lower_bound("a_", "b_") > h)).alias("below"), F.count_if((upper_bound("a_", "b_") < e) | (upper_bound("a_", "b_") < h)).alias("above"))
 
 
 @query(
@@ -172,17 +193,15 @@ _ball("hamming")
 
 @query("affine_order_k5", f"WITH {km_sql(5)} SELECT kmer, row_number() OVER (ORDER BY (2654435761 * enc + 12345) % 1024) AS place FROM km")
 def _(spark, sf_dir):
-    from pyspark.sql import Window
+    return placed(ranked(universe(spark, sf_dir, 5), 5, "affine")).select("kmer", F.col("place").cast("bigint").alias("place"))
 
-    return ranked(universe(spark, sf_dir, 5), 5, "affine").select("kmer", F.row_number().over(Window.orderBy("rank")).cast("bigint").alias("place"))
 
-
-def _mis(metric: str, method: str, order: str, k: int, d: int) -> None:
+def _mis(metric: str, method: str, order: str, k: int, d: int, min_count: int = 1) -> None:
     pin = order != "lex" and (metric, method) == ("edit", "improved")
 
-    @query(f"mis_{metric}_{method}_{order}_k{k}_d{d}", f"WITH RECURSIVE {mis_sql(k, d, metric, order, pin)} SELECT sel_idx, kmer FROM mis")
+    @query(f"mis_{metric}_{method}_{order}_k{k}_d{d}", f"WITH RECURSIVE {mis_sql(k, d, metric, order, pin, min_count)} SELECT sel_idx, kmer FROM mis")
     def _(spark, sf_dir):
-        return find_mis(universe(spark, sf_dir, k), k, d, metric, method, order).select("sel_idx", "kmer")
+        return find_mis(universe(spark, sf_dir, k, min_count), k, d, metric, method, order).select("sel_idx", "kmer")
 
 
 for _metric in ("edit", "hamming"):
@@ -192,6 +211,11 @@ for _metric in ("edit", "hamming"):
 _mis("edit", "improved", "lex", 5, 3)
 _mis("edit", "bfs", "lex", 5, 3)
 _mis("hamming", "improved", "lex", 5, 2)
+#: Longer k-mers, of those that occur often enough to be chosen from.
+OFTEN = 25
+for _method in ("simple", "improved"):
+    _mis("edit", _method, "lex", 9, 4, OFTEN)
+    _mis("hamming", _method, "affine", 9, 4, OFTEN)
 
 
 @query(
@@ -208,13 +232,34 @@ def _(spark, sf_dir):
     return out
 
 
-@query("mis_check_k4_d2", "SELECT 0::BIGINT AS dependent, 0::BIGINT AS uncovered")
+def _random(metric: str, method: str, seed: int) -> None:
+    """Independence, maximality and reproducibility of a selection in random order; which set it is, only the hash says."""
+
+    @query(f"mis_{metric}_{method}_random_k4_d2", f"WITH {km_sql(4)} SELECT count(*) AS kmers, 0::BIGINT AS dependent, 0::BIGINT AS uncovered, 0::BIGINT AS other FROM km")
+    def _(spark, sf_dir):
+        u = universe(spark, sf_dir, 4)
+        mis, again = (cut(find_mis(u, 4, 2, metric, method, "random", seed), "mis") for _ in range(2))
+        told = lambda rows, name: rows.select(F.lit(name).alias("what"))
+        other = mis.select("sel_idx", "kmer").exceptAll(again.select("sel_idx", "kmer"))
+        rows = told(u, "kmers").unionByName(told(dependent_pairs(mis, 4, 2, metric), "dependent")).unionByName(told(uncovered(u, mis, 4, 2, metric), "uncovered")).unionByName(told(other, "other"))
+        return rows.agg(*[F.count_if(F.col("what") == x).alias(x) for x in ("kmers", "dependent", "uncovered", "other")])
+
+
+for _seed, _metric in enumerate(("edit", "hamming")):
+    for _method in ("simple", "improved", "bfs"):
+        _random(_metric, _method, 3 + _seed)
+
+
+@query(
+    "mis_first_cover_k5_d2",
+    f"""WITH RECURSIVE {mis_sql(5, 2, 'hamming')}
+SELECT km.kmer, arg_min(mis.kmer, sel_idx) AS cover, arg_min(hamming(km.kmer, mis.kmer), sel_idx)::INT AS dist
+FROM km JOIN mis ON hamming(km.kmer, mis.kmer) <= 2 GROUP BY km.kmer""",
+)
 def _(spark, sf_dir):
-    u = universe(spark, sf_dir, 4)
-    mis = cut(find_mis(u, 4, 2, "edit", "improved", "random", seed=3), "mis")
-    bad = dependent_pairs(mis, 4, 2, "edit").select(F.lit(1).alias("dependent"), F.lit(0).alias("uncovered"))
-    missed = uncovered(u, mis, 4, 2, "edit").select(F.lit(0).alias("dependent"), F.lit(1).alias("uncovered"))
-    return bad.unionByName(missed).agg(F.coalesce(F.sum("dependent"), F.lit(0)).alias("dependent"), F.coalesce(F.sum("uncovered"), F.lit(0)).alias("uncovered"))
+    u = universe(spark, sf_dir, 5)
+    mis = cut(find_mis(u, 5, 2, "hamming"), "mis")
+    return first_covers(u, mis.withColumnRenamed("sel_idx", "place"), 5, 2, "hamming").select(decode(F.col("enc"), 5).alias("kmer"), F.col("cover_kmer").alias("cover"), "dist")
 
 
 @query(
@@ -249,5 +294,5 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     u = universe(spark, sf_dir, 4)
     mis = cut(find_mis(u, 4, 2, "hamming"), "mis")
-    pairs = u.alias("a").join(F.broadcast(mis).alias("b"), within("hamming", 2, "a", "b"))  # a maximal set over 4^4 k-mers has 256 members at most
-    return pairs.groupBy("a.kmer").agg(F.count("*").alias("members"))
+    near = balls(mis, 4, 2, "hamming").select(F.col("dst").alias("enc"))
+    return u.join(near, "enc").groupBy("kmer").agg(F.count("*").alias("members"))

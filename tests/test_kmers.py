@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from merset.functions.kmers import check_domain, code_of, decode, deletions, distance, encode, insertions, is_kmer, lower_bound, profile, substitutions, upper_bound, vertex, within
 from merset.operators.ball import balls
-from merset.operators.conflict import by_deletion, by_profile
+from merset.operators.conflict import conflicts, piece_keys, sharing
 from merset.operators.neighbors import unit_edges
 from merset.operators.orders import ranked
 from merset.sources.universe import SEGMENT, full_universe, kmer_counts, kmers_of
@@ -99,18 +99,49 @@ def test_balls_and_conflicts_agree_with_brute_force(spark, metric, d):
     names = [r.kmer for r in u.collect()]
     want = {(a, b) for a in names for b in names if a != b and DIST[metric](a, b) <= d}
     spell = lambda df: {(r.a, r.b) for r in df.select(decode(F.col("a"), 4).alias("a"), decode(F.col("b"), 4).alias("b")).collect()}
-    for how in (by_profile, by_deletion):
-        pairs = how(u, 4, d, metric)
+    for bounds in (True, False):
+        pairs = conflicts(u, 4, d, metric, bounds)
         assert spell(pairs) == want and pairs.count() == len(want)
     every = {(r.a, r.b): r.dist for r in balls(u, 4, d, metric).select(decode(F.col("src"), 4).alias("a"), decode(F.col("dst"), 4).alias("b"), "dist").collect()}
     assert every == {(a, b): DIST[metric](a, b) for a in names for b in kmers(4) if DIST[metric](a, b) <= d}
 
 
-def test_conflicts_have_no_nested_loop_join(spark):
-    u = full_universe(spark, 4)
-    for how in (by_profile, by_deletion):
-        plan = how(u, 4, 2, "edit")._jdf.queryExecution().executedPlan().toString()
+def test_conflicts_join_few_pairs(spark):
+    """Pieces are joined by equality, and of k-mers of 10 bases few pairs share one."""
+    rng = random.Random(2)
+    names = sorted({"".join(rng.choice("ACGT") for _ in range(10)) for _ in range(1500)})
+    u = spark.createDataFrame([(x,) for x in names], "kmer string").select(encode(F.col("kmer")).alias("enc"), "kmer")
+    for metric in DIST:
+        pairs = sharing(u, u, 10, 2, metric)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+        assert pairs.count() < 0.05 * len(names) ** 2
+
+
+@pytest.mark.parametrize("k,d", [(7, 3), (9, 4), (12, 5), (30, 10)])
+def test_pieces_miss_no_pair(k, d):
+    """Strings with up to d random edits share a piece, and there are few keys."""
+    rng = random.Random(k)
+    keys = {m: piece_keys(k, d, m) for m in DIST}
+    assert len(keys["hamming"]) == d + 1 and len(keys["edit"]) <= (d + 1) * (d + 2) // 2
+    for _ in range(1500):
+        a = "".join(rng.choice("AC") for _ in range(k))
+        b = list(a)
+        for _ in range(rng.randint(0, d // 2)):
+            del b[rng.randrange(len(b))]
+        while len(b) < k:
+            b.insert(rng.randint(0, len(b)), rng.choice("AC"))
+        for _ in range(rng.randint(0, 2)):
+            b[rng.randrange(k)] = rng.choice("ACGT")
+        b = "".join(b)
+        for m, dist in DIST.items():
+            if dist(a, b) <= d:
+                assert any(a[x : x + n] == b[y : y + n] for x, y, n in keys[m])
+
+
+def test_foreign_strings_have_no_code(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("ACN",), ("acg",), ("A" * 31,), ("ACG",)], "kmer string")
+    assert [r.e for r in rows.select(encode(F.col("kmer")).alias("e")).collect()] == [None] * 5 + [6]
 
 
 def test_kmer_counts(spark):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_kmers import DIST, kmers
 
 from merset.functions.kmers import decode, encode
+from merset.operators import rootset
 from merset.plans import cli
 from merset.plans.methods import METHODS, assign, cover_from_neighbors, find_mis, not_covered
 from merset.plans.report import measured, size
@@ -91,6 +92,46 @@ def test_cover_check_without_broadcast(spark, monkeypatch):
     assert {r.kmer for r in not_covered(u, members, 3, 2, "edit").collect()} == want == {x for x in kmers(3) if DIST["edit"](x, "AAA") > 2 and DIST["edit"](x, "CCC") > 2}
 
 
+@pytest.mark.parametrize("metric", ["edit", "hamming"])
+@pytest.mark.parametrize("k,d", [(20, 5), (30, 10)])
+def test_long_kmers_equal_sequential_greedy(spark, metric, k, d):
+    """Families of k-mers a few edits from each other, over the advertised domain."""
+    rng = random.Random(k)
+    names = set()
+    for _ in range(20):
+        base = [rng.choice("ACGT") for _ in range(k)]
+        for _ in range(6):
+            x = list(base)
+            for _ in range(rng.randint(0, d)):
+                x[rng.randrange(k)] = rng.choice("ACGT")
+            if rng.random() < 0.5:
+                x.insert(rng.randrange(k), x.pop(rng.randrange(k)))
+            names.add("".join(x))
+    names = sorted(names)
+    u = spark.createDataFrame([(x,) for x in names], "kmer string").select(encode(F.col("kmer")).alias("enc"), "kmer")
+    want = greedy(names, d, metric)
+    for method in ("simple", "improved"):
+        mis = cut(find_mis(u, k, d, metric, method), "mis")
+        assert listed(mis) == want
+    assert dependent_pairs(mis, k, d, metric).isEmpty() and uncovered(u, mis, k, d, metric).isEmpty()
+
+
+def test_rounds_equal_the_walk(spark, monkeypatch):
+    rng = random.Random(4)
+    names = sorted(rng.sample(kmers(4), 120))
+    u = spark.createDataFrame([(x,) for x in names], "kmer string").select(encode(F.col("kmer")).alias("enc"), "kmer")
+    for few in (0, 40, 10**6):
+        monkeypatch.setattr(rootset, "FEW", few)
+        assert listed(find_mis(u, 4, 2, "edit", "improved")) == greedy(names, 2, "edit")
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_null_and_foreign_kmers_are_left_out(spark, method):
+    rows = [("AAA", 0), ("TTT", 63), (None, None), ("ANA", None), ("AAAA", 0), ("", 0), ("ttt", 63), ("AAA", 7), ("TTT", None)]
+    u = spark.createDataFrame([(e, x, 1) for x, e in rows], "enc long, kmer string, rank int")
+    assert listed(find_mis(u, 3, 1, "edit", method)) == ["AAA", "TTT"]
+
+
 def test_empty_universe_and_bad_arguments(spark):
     none = full_universe(spark, 3).limit(0)
     for method in METHODS:
