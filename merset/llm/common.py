@@ -6,13 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def no_clash(keep: tuple[str, ...], results: tuple[str, ...]) -> None:
+    """Raises if columns to keep have names of results, in any case of letters."""
+    clash = {c.lower() for c in results} & {c.lower() for c in keep}
+    if clash:
+        raise ValueError(f"keep uses names of results: {sorted(clash)}")
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
@@ -44,11 +51,3 @@ def slices(starts: np.ndarray, ends: np.ndarray, size: int) -> Iterator[tuple[in
         j = max(i + 1, int(np.searchsorted(total, base + size, side="right")))
         yield i, j
         i = j
-
-
-def even_keys(spark: SparkSession, n: int) -> list[int]:
-    """n numbers that hash partitioning deals to n partitions one each, so equal blocks don't meet in one task."""
-    tried = spark.range(16 * n).select(F.col("id").cast("int").alias("v"))
-    found = tried.groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("p")).agg(F.min("v").alias("v")).collect()
-    known = {r["p"]: r["v"] for r in found}
-    return [known.get(p, -1 - p) for p in range(n)]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merset.llm.common import flat, slices
+from merset.llm.common import flat, no_clash, slices
 from merset.session import spread
 
 ROW = 64
@@ -319,6 +319,26 @@ def padded(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([raw, np.zeros(max(ROW, -(-len(raw) // ROW) * ROW) - len(raw), np.uint8)])
 
 
+def _stored(payloads: list[np.ndarray]) -> Iterator[tuple[list[bytes], list[tuple[Image, np.ndarray]]]]:
+    """The media of each payload, in pieces, and its images as read back; a payload of several images goes through image by image."""
+    most = ROW * MOST_ROWS
+    short = [p for p in payloads if len(p) <= most]
+    media = encode(short) if short else []
+    together = iter(zip(media, thumbnails(media), strict=True))
+    for p in payloads:
+        if len(p) <= most:
+            stored, images = next(together)
+            yield [stored], images
+        else:
+            pieces, images = [], []
+            for a in range(0, len(p), most):
+                pieces += encode([p[a : a + most]])
+                image, grid = thumbnails(pieces[-1:])[0][0]
+                image.segments.clear()
+                images.append((image, grid))
+            yield pieces, images
+
+
 STORED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -331,19 +351,24 @@ def store_and_read(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     the thumbnail's average hash, of all images below each other. Null and empty texts are
     64 zero bytes. Texts of more than 524,224 bytes take several images.
     Repeated rows stay; equal texts give equal values; an empty table gives an
-    empty result. ``keep`` must not use the names of the results.
+    empty result. ``keep`` with a name of the results is an error. A long text
+    is held a few times over, but never all its coded bits.
     """
+    no_clash(keep, tuple(x.strip().split(" ")[0] for x in STORED.split(",")) + ("media",) * with_media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, starts, ends = flat(batch.column(batch.num_columns - 1))
             for i, j in slices(starts, ends, CHUNK):
-                media = encode([padded(raw[a:b]) for a, b in zip(starts[i:j], ends[i:j], strict=True)])
-                rows = []
-                for stored, images, n in zip(media, thumbnails(media), ends[i:j] - starts[i:j], strict=True):
+                rows, media = [], []
+                for (pieces, images), n in zip(_stored([padded(raw[a:b]) for a, b in zip(starts[i:j], ends[i:j], strict=True)]), ends[i:j] - starts[i:j], strict=True):
                     width, height, grid = joined(images)
-                    back = grid.tobytes()
-                    rows.append((int(n), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{width}x{height}:{average_hash(grid)}"))
+                    back, sha = grid.tobytes(), hashlib.sha256()
+                    for piece in pieces:
+                        sha.update(piece)
+                    rows.append((int(n), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), sum(map(len, pieces)), sha.hexdigest(), f"{width}x{height}:{average_hash(grid)}"))
+                    if with_media:
+                        media.append(b"".join(pieces))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 kept = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
@@ -354,7 +379,11 @@ def store_and_read(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
 
 
 def describe(rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """width, height, thumbnail (its bytes, row by row) and thumbnail_hash of a column of baseline JPEGs, several in a value one below the other; null where a value is null or isn't one."""
+    """width, height, thumbnail (its bytes, row by row) and thumbnail_hash of a column of baseline JPEGs, several in a value one below the other; null where a value is null or isn't one.
+
+    One row a row; an empty table gives no rows; ``keep`` with a name of the results is an error.
+    """
+    no_clash(keep, ("width", "height", "thumbnail", "thumbnail_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,10 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merset.llm.common import LOWER, flat, slices
+from merset.llm.common import LOWER, flat, no_clash, slices
 from merset.session import spread
 
 FEATURE_BITS = 14
@@ -111,6 +111,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Code:
     return Code(languages, words, weights.astype(np.float32), apart / apart.mean() if len(apart) else apart)
 
 
+def has_language(text: Column, lang_pred: Column, ambiguous: Column, enough: int = 64) -> Column:
+    """Whether a text is in one of the languages: it has a letter, and is nearest to one codeword unless it is too short to tell (fewer than ``enough`` bytes)."""
+    return (lang_pred != "und") & ~(ambiguous & (F.octet_length(text) >= enough))
+
+
 def decode(code: Code, margins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nearest codeword, its share of belief, and the next one, from mean margins over n trigrams.
 
@@ -135,13 +140,11 @@ def identify(docs: DataFrame, code: Code, text: str = "text", keep: tuple[str, .
     and ties go to the first language by code point. Ambiguous: the next
     language's belief comes within ``gap`` of the first's. Whole texts count,
     in chunks; one row a row of ``docs``, repeated ones too. Columns of docs
-    other than ``keep`` and the text are not read; ``keep`` must not use the
-    names of the results.
+    other than ``keep`` and the text are not read; ``keep`` with a name of the
+    results is an error.
     """
     shared = docs.sparkSession.sparkContext.broadcast(code)
-    clash = {"lang_pred", "score", "runner_up", "ambiguous"} & set(keep)
-    if clash:
-        raise ValueError(f"keep uses names of results: {sorted(clash)}")
+    no_clash(keep, ("lang_pred", "score", "runner_up", "ambiguous"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value

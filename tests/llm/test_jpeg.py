@@ -110,3 +110,27 @@ def test_joined_images_of_different_widths():
     image = lambda w, h: type("I", (), {"width": w, "height": h})()
     width, height, grid = jpeg.joined([(image(24, 16), a), (image(40, 8), b)])
     assert (width, height) == (40, 24) and grid.tolist() == [[9, 9, 9, 0, 0]] * 2 + [[9] * 5]
+
+
+def test_long_texts_go_image_by_image(rng):
+    """Same media and thumbnails as all images at once, in less memory than their coded bits would take."""
+    import tracemalloc
+
+    payload = jpeg.padded(rng.integers(32, 120, 3 * jpeg.ROW * jpeg.MOST_ROWS + 777).astype(np.uint8))
+    pieces, images = next(jpeg._stored([payload]))
+    assert b"".join(pieces) == jpeg.encode([payload])[0] and np.array_equal(jpeg.joined(images)[2].ravel(), payload)
+    long = jpeg.padded(rng.integers(32, 120, 8 << 20).astype(np.uint8))
+    tracemalloc.start()
+    for _ in jpeg._stored([long]):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x", 2)], "doc_id long, text string, Feature int")
+    with pytest.raises(ValueError):
+        jpeg.store_and_read(df, keep=("doc_id", "Feature"))
+    with pytest.raises(ValueError):
+        jpeg.describe(df.withColumnRenamed("Feature", "width"), media="text", keep=("width",))
+    assert jpeg.describe(jpeg.store_and_read(df, with_media=True).limit(0)).count() == 0

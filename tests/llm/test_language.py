@@ -48,3 +48,35 @@ def test_codewords_are_apart():
         c = language.codewords(n)
         apart = min(int((c[i] != c[j]).sum()) for i in range(n) for j in range(i))
         assert apart >= (1 if n < 3 else 2) and (np.abs(c.sum(0)) < n).all()
+
+
+def test_decoding_against_brute_force(spark, prose, rng):
+    """Every text by plain sums, one trigram and codeword at a time."""
+    letters = {"aa": "abcdefgh", "bb": "hijklmno", "cc": "pqrstuvw", "dd": "aeimquyz"}
+    made = lambda lang, n: " ".join("".join(rng.choice(list(letters[lang]), 5)) for _ in range(n))
+    rows = [(i, made(lang, int(rng.integers(1, 40))), lang) for i in range(40) for lang in letters]
+    rows += [(900, "ab hi", None), (901, "", "aa"), (902, "12 34", None), (903, None, "bb"), (904, "a", "aa"), (905, "\u4e16\u754c", None), (906, made("aa", 3) + made("bb", 3), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    code = language.fit(df)
+    counts = {lang: {} for lang in letters}
+    hashed = lambda raw: [int(language._T[0][a] ^ language._T[1][b] ^ language._T[2][c]) for a, b, c in zip(raw, raw[1:], raw[2:], strict=False)]
+    for _, text, lang in rows:
+        for f in hashed((text or "").encode()) if lang else ():
+            counts[lang][f] = counts[lang].get(f, 0) + 1
+    share = lambda lang, f: (counts[lang].get(f, 0) + 0.5) / (sum(counts[lang].values()) + 0.5 * 2**14)
+    names, words = sorted(letters), language.codewords(4)
+    assert code.languages == names
+    side = lambda f, b, sign: np.mean([share(x, f) for x, w in zip(names, words, strict=True) if w[b] == sign])
+    got = {(r["doc_id"], r["lang_pred"]): r for r in language.identify(df, code).collect()}
+    for i, text, _ in rows:
+        raw, seen = (text or "").encode(), hashed((text or "").encode())
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i, "und"]["score"] == 0
+            continue
+        z = [sum(np.log(side(f, b, 1) / side(f, b, -1)) for f in seen) / max(len(seen), 1) * min(len(seen), 64) / 4 for b in range(words.shape[1])]
+        loss = [sum(a * np.logaddexp(0, -x * w) for a, x, w in zip(code.alpha, z, word, strict=True)) for word in words]
+        belief = np.exp(min(loss) - np.array(loss))
+        belief /= belief.sum()
+        best = int(np.argmin(loss))
+        r = got[i, names[best]]
+        assert abs(r["score"] - belief[best]) < 1e-4 and r["ambiguous"] == (2 * r["score"] - 1 < 0.2)
