@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merset.llm.common import LOWER, flat
+from merset.llm.common import LOWER, flat, no_clash
 from merset.session import cut, spread
 
 #: Letters of other scripts by the Latin ones they look like. Fixed values.
@@ -116,30 +116,32 @@ def features(words: list[bytes], automaton) -> tuple[float, float, float]:
     return float(np.log1p(total)), float(np.log1p(100 * total / max(len(words), 20))), float(np.log1p(len(words)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Coefficients (last: constant) by Newton's method, slightly ridged."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Coefficients (last: constant) by Newton's method, slightly ridged; each row counts n times."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (n * (y - p)) - 1e-2 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_docs: int = 40_000, most_terms: int = 200_000, least_weight: float = 2.0) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, most_docs: int = 40_000, least_weight: float = 2.0) -> Lexicon:
     """A lexicon from texts (doc_id, text) and labels (doc_id, toxic 0/1; null: not used).
 
     At most about ``most_docs`` labelled ids, chosen by hash, are learned from;
-    that bounds what is joined by broadcast. Terms: of word beginnings in at
-    least 4 toxic texts and 1 in 500 of them, the ``most_terms`` commonest.
+    that bounds what is joined by broadcast. Terms: all word beginnings in at
+    least 4 toxic texts and 1 in 500 of them (so at most 500 times as many as a
+    text has), that weigh ``least_weight`` or more.
     Without both kinds of label the lexicon is empty, and scores are those of
-    the commoner kind. Ids with several labels count with each.
+    the commoner kind. An id with both labels counts with each; repeated labels
+    count once, repeated texts as often as they are there.
     """
-    rated = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    rated = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
     share = min(1.0, most_docs / max(1, rated.count()))
     chosen = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rated
     rows = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
@@ -150,11 +152,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_docs: int = 40_000, most_term
         return Lexicon({}, set(), np.array([0.0, 0.0, 0.0, 3.0 if n1 else -3.0]))
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
     spark = docs.sparkSession
-    seen = _counts(toxic, lambda t: beginnings(set(folded(t))), "n").where(F.col("n") >= max(4, n1 // 500)).orderBy(F.desc("n"), "key").limit(most_terms)
-    ones = {bytes(r["key"]): r["n"] for r in seen.collect()}
-    known = spark.sparkContext.broadcast(set(ones))
-    zeros = {bytes(r["key"]): r["n"] for r in _counts(clean, lambda t: beginnings(set(folded(t))) & known.value, "n").collect()}
-    weight = {k: float(np.log((n + 0.5) / (n1 + 1)) - np.log((zeros.get(k, 0) + 0.5) / (n0 + 1))) for k, n in ones.items()}
+    every = lambda t: beginnings(set(folded(t)))
+    seen = _counts(toxic, every, "n1").where(F.col("n1") >= max(4, n1 // 500)).join(_counts(clean, every, "n0"), "key", "left")
+    seen = seen.withColumn("w", F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.coalesce("n0", F.lit(0)) + 0.5) / (n0 + 1)))
+    found = seen.where(F.col("w") >= least_weight + np.log(0.9) - 0.01).orderBy("key").collect()  # with those that may stand for a shorter one
+    ones, weight = {bytes(r["key"]): r["n1"] for r in found}, {bytes(r["key"]): r["w"] for r in found}
     longest: dict[bytes, int] = {}
     for key, n in ones.items():
         for k in range(SHORTEST, len(key) if not key.endswith(b" ") else 0):
@@ -173,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_docs: int = 40_000, most_term
         hit = lambda w: any(w[:n] in lexicon for n in range(SHORTEST, LONGEST + 1)) or w + b" " in lexicon
         return {a + b" " + b for a, b in zip(words, words[1:], strict=False) if hit(b)}
 
-    spared = _counts(clean, phrases, "n0").where("n0 >= 3").join(_counts(toxic, phrases, "n1"), "key", "left").where(f"n0 / {n0} >= coalesce(n1, 0) / {n1}").orderBy(F.desc("n0"), "key").limit(most_terms)
+    spared = _counts(clean, phrases, "n0").where("n0 >= 3").join(_counts(toxic, phrases, "n1"), "key", "left").where(f"n0 / {n0} >= coalesce(n1, 0) / {n1}").orderBy("key")
     draft.exceptions = {bytes(r["key"]) for r in spared.collect()}
     held = spark.sparkContext.broadcast(draft)
 
@@ -184,8 +186,9 @@ def learn(docs: DataFrame, labels: DataFrame, most_docs: int = 40_000, most_term
             a, b, c = zip(*x, strict=True) if x else ((), (), ())
             yield pa.record_batch([pa.array(v, pa.float64()) for v in (a, b, c)] + [batch.column(1)], names=["a", "b", "c", "toxic"])
 
-    x = rows.select(F.col("text").cast("binary"), "toxic").mapInArrow(measure, "a double, b double, c double, toxic int").toPandas().sort_values(["a", "b", "c", "toxic"])
-    draft.curve = _logistic(x[["a", "b", "c"]].to_numpy(), x["toxic"].to_numpy(float))
+    alike = rows.select(F.col("text").cast("binary"), "toxic").mapInArrow(measure, "a double, b double, c double, toxic int").groupBy("a", "b", "c", "toxic").agg(F.count("*").alias("n"))
+    x = alike.toPandas().sort_values(["a", "b", "c", "toxic"])
+    draft.curve = _logistic(x[["a", "b", "c"]].to_numpy(), x["toxic"].to_numpy(float), x["n"].to_numpy(float))
     return draft
 
 
@@ -194,8 +197,9 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc
 
     Null and empty texts score as texts without a match. Whole texts count. One
     row a row of docs, repeated ones too; an empty table gives no rows. ``keep``
-    must not use the names of the results.
+    with a name of the results is an error.
     """
+    no_clash(keep, ("score", "predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,5 @@
+import pytest
+import numpy as np
 from merset.llm import toxicity
 from merset.llm.toxicity import folded
 
@@ -43,3 +45,36 @@ def test_one_kind_of_label(spark):
     d = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     lexicon = toxicity.learn(d, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
     assert {r["predicted"] for r in toxicity.score_texts(d, lexicon).collect()} == {0}
+
+
+def brute_total(words, weights, exceptions):
+    """The longest lexicon entry at each word, unless the word lies in an exception phrase that it does not begin after."""
+    total = 0.0
+    for i, w in enumerate(words):
+        best = max((k for k in weights if (w + b" ").startswith(k)), key=len, default=None)
+        rest = b" ".join(words[i:]) + b" "
+        spared = any(rest.startswith(p) for p in exceptions) or (i and any((words[i - 1] + b" " + rest).startswith(p) for p in exceptions))
+        total += weights[best] if best is not None and not spared else 0
+    return total
+
+
+def test_matching_against_brute_force(rng):
+    weights = {b"bad": 3.0, b"badly": 1.5, b"worse ": 2.0, b"cur": 4.0, b"curse": 5.0}
+    exceptions = {b"not bad", b"the curse"}
+    automaton = toxicity.Lexicon(weights, exceptions, np.zeros(4)).automaton()
+    vocabulary = [b"bad", b"badly", b"badge", b"worse", b"worsen", b"cur", b"curse", b"cursed", b"not", b"the", b"a", b"xbad"]
+    for _ in range(300):
+        words = [vocabulary[i] for i in rng.integers(0, len(vocabulary), int(rng.integers(0, 12)))]
+        total = brute_total(words, weights, exceptions)
+        got = toxicity.features(words, automaton)
+        assert got == (np.log1p(total), np.log1p(100 * total / max(len(words), 20)), np.log1p(len(words)))
+
+
+def test_repeated_labels_and_clashes(spark, prose):
+    docs = spark.createDataFrame([(i, prose(20) + (" rotten" if i % 2 else "")) for i in range(40)] + [(1, "rotten " + prose(9))] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 5 + [(None, 1), (3, None)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    once = toxicity.learn(docs, labels.distinct())
+    assert lexicon.weights == once.weights and np.allclose(lexicon.curve, once.curve) and any(k.startswith(b"rot") for k in lexicon.weights)
+    with pytest.raises(ValueError):
+        toxicity.score_texts(docs.withColumn("Score", docs["doc_id"]), lexicon, keep=("doc_id", "Score"))
