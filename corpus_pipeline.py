@@ -18,10 +18,27 @@ from merset.llm.secrets import redact_secrets
 from merset.session import scratch
 
 
+#: Languages that the pipeline keeps; None: all that were learned.
+LANGUAGES: tuple[str, ...] | None = None
+
+
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null and empty texts and texts without a letter."""
-    found = language.identify(docs, language.fit(docs), keep=tuple(docs.columns))
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    """Keeps documents that the classifier assigns to one of LANGUAGES; a missing lang becomes the assigned one.
+
+    Rejected are null and empty texts, texts without a letter, texts assigned
+    to a language that is not wanted, and texts of 64 bytes and more that are
+    near no single codeword (gibberish, or a language that was not learned). Where no row has a
+    lang, nothing can be learned, and all texts with a letter stay as they are.
+    """
+    code = language.fit(docs)
+    if not code.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = language.identify(docs.select(row, "text"), code, keep=("row",))
+    kept = found.where(language.has_language(F.col("row.text"), F.col("lang_pred"), F.col("ambiguous")))
+    if LANGUAGES is not None:
+        kept = kept.where(F.col("lang_pred").isin(*LANGUAGES))
+    return kept.select(*[F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +71,7 @@ STAGES = [
     ("mixing", mixed),
 ]
 
-#: SQL has no words for these stages; each is tested against a brute-force version.
+#: SQL has no words for these stages; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
