@@ -141,17 +141,16 @@ def _redacted(text: pd.Series, spans: pd.Series) -> pd.Series:
 def redact_secrets(docs: DataFrame, ledger_path: str | None = None, text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """``docs``, all rows and columns, with each secret replaced by a mark, and n_chars, if there, made anew for texts that changed.
 
-    The scan fills the ledger; then only findings with spans meet the rows. AQE
-    broadcasts them while they are small, and the texts stay where they are; if
-    there are many, rows meet them in a join whose hot blobs AQE splits. Null
-    texts stay null; repeated rows stay; columns of any name stay.
+    The scan fills the ledger; then findings with spans meet the rows in a join
+    by blob, whose hot blobs AQE splits; it is the same join at every size.
+    Null texts stay null; repeated rows stay; columns of any name stay.
     """
     spark = docs.sparkSession
     path = ledger_path or scratch(spark, "secret-ledger")
     scan_unseen(with_blob(docs.select(F.col(text).alias("text"))), open_ledger(spark, path) if ledger_path else None, rule_version).write.mode("append").parquet(path)
     secret = cut(findings(spark, path, rule_version).where("spans <> ''").select("blob", "spans"), "secret-spans")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    told = with_blob(docs.select(row.alias("row"), F.col(f"`{text}`").alias("old")), "old").join(secret, "blob", "left")
+    told = with_blob(docs.select(row.alias("row"), F.col(f"`{text}`").alias("old")), "old").join(secret.hint("merge"), "blob", "left")
     told = told.select("row", "spans", F.when(F.col("spans").isNotNull(), _redacted(F.col("old"), F.col("spans"))).otherwise(F.col("old")).alias("new"))
     out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text: F.col("new")}
     if "n_chars" in docs.columns:
