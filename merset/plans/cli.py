@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> int:
             print(row["kmer"], file=sys.stderr)
     print(f"The graph has an independent set of size {n}.", file=sys.stderr)
     for row in report[0].collect():
-        print(f"{row['metric']}: {row['value']:.2f} {row['unit']}", file=sys.stderr)
+        print(f"{row['process']}, {row['metric']}: {row['value']:.2f} {row['unit']}", file=sys.stderr)
     return 0
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import resource
+import os
 import time
 from contextlib import contextmanager
 
@@ -17,12 +17,41 @@ def size(mis: DataFrame) -> DataFrame:
 
 @contextmanager
 def measured(spark: SparkSession, out: list[DataFrame]):
-    """Appends to ``out`` a DataFrame (metric, value, unit) of the block's wall time and the driver process's CPU seconds and peak memory."""
-    wall, use = time.time(), resource.getrusage(resource.RUSAGE_SELF)
+    """Appends to ``out`` a DataFrame (process, metric, value, unit) of what the block took.
+
+    For the driver's Python and its JVM (on a local master also the executor):
+    seconds in user and kernel mode, and peak virtual and resident memory so
+    far. For all executors together: seconds of tasks and of garbage collection.
+    """
+    processes = {"python": os.getpid(), "jvm": spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()}
+    wall, use, work = time.time(), {p: _cpu(pid) for p, pid in processes.items()}, _executors(spark)
     yield
-    now = resource.getrusage(resource.RUSAGE_SELF)
-    rows = [
-        ("wall time", time.time() - wall, "s"), ("time in user mode", now.ru_utime - use.ru_utime, "s"),
-        ("time in kernel mode", now.ru_stime - use.ru_stime, "s"), ("peak resident set size", float(now.ru_maxrss), "kB"),
-    ]
-    out.append(spark.createDataFrame(rows, "metric string, value double, unit string"))
+    rows = [("all", "wall time", time.time() - wall, "s")]
+    for p, pid in processes.items():
+        user, kernel = (b - a for a, b in zip(use[p], _cpu(pid), strict=True))
+        rows += [(p, "time in user mode", user, "s"), (p, "time in kernel mode", kernel, "s")]
+        rows += [(p, name, value, "kB") for name, value in _peaks(pid).items()]
+    rows += [("executors", name, b - a, "s") for name, a, b in zip(("task time", "garbage collection"), work, _executors(spark), strict=True)]
+    out.append(spark.createDataFrame(rows, "process string, metric string, value double, unit string"))
+
+
+def _cpu(pid: int) -> tuple[float, float]:
+    """Seconds in user and kernel mode that a process has used."""
+    with open(f"/proc/{pid}/stat") as f:
+        after_name = f.read().rpartition(")")[2].split()
+    tick = os.sysconf("SC_CLK_TCK")
+    return int(after_name[11]) / tick, int(after_name[12]) / tick
+
+
+def _peaks(pid: int) -> dict[str, float]:
+    """Peak virtual and resident memory of a process in kB."""
+    with open(f"/proc/{pid}/status") as f:
+        told = dict(line.split(":", 1) for line in f)
+    return {"peak virtual memory size": float(told["VmPeak"].split()[0]), "peak resident set size": float(told["VmHWM"].split()[0])}
+
+
+def _executors(spark: SparkSession) -> tuple[float, float]:
+    """Seconds that all executors, also lost ones, have spent in tasks and in garbage collection."""
+    rows = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    each = [rows.apply(i) for i in range(rows.size())]
+    return sum(e.totalDuration() for e in each) / 1000, sum(e.totalGCTime() for e in each) / 1000

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def get_spark(cores: int | str = "*", app: str = "merset", **conf: str) -> SparkSession:
     """A local session with AQE on; on a cluster, pass your own session to the operators instead."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -27,19 +30,38 @@ def get_spark(cores: int | str = "*", app: str = "merset", **conf: str) -> Spark
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a temporary folder is made
-    and set for the session.
+    Only where that is unset on one machine (a local master, as in tests) a
+    temporary folder is made and set for the session. On a cluster it must be
+    set: a folder of one machine would lose what others write.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses; ``clear_scratch`` removes it."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes what this process wrote below the shared folder, and returns how many paths that were.
+
+    DataFrames that were returned before may read these files: write what is
+    to be kept first.
+    """
+    for path in _made:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    n = len(_made)
+    _made.clear()
+    return n
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:

@@ -1,10 +1,13 @@
 import random
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 from test_kmers import DIST, kmers
 
 from merset.functions.kmers import decode, encode
+from merset import session
 from merset.operators import rootset
 from merset.plans import cli
 from merset.plans.methods import METHODS, assign, cover_from_neighbors, find_mis, not_covered
@@ -145,8 +148,26 @@ def test_empty_universe_and_bad_arguments(spark):
 def test_report(spark):
     out = []
     with measured(spark, out):
-        spark.range(3).count()
-    assert {r.metric for r in out[0].collect()} == {"wall time", "time in user mode", "time in kernel mode", "peak resident set size"}
+        sum(i * i for i in range(3_000_000))
+        spark.range(3).repartition(2).count()
+    got = {(r.process, r.metric): r.value for r in out[0].collect()}
+    each = {"time in user mode", "time in kernel mode", "peak virtual memory size", "peak resident set size"}
+    assert got.keys() == {(p, m) for p in ("python", "jvm") for m in each} | {("all", "wall time"), ("executors", "task time"), ("executors", "garbage collection")}
+    assert got["python", "time in user mode"] > 0.05 and min(got.values()) >= 0
+    assert all(got[p, "peak virtual memory size"] >= got[p, "peak resident set size"] > 10_000 for p in ("python", "jvm"))
+
+
+def test_scratch_is_cleared(spark, monkeypatch):
+    monkeypatch.setattr(session, "_made", [])
+    assert cut(spark.range(5), "x").count() == 5
+    (path,) = [Path(x.removeprefix("file://")) for x in session._made]
+    assert path.is_dir() and session.clear_scratch(spark) == 1 and not path.exists() and session.clear_scratch(spark) == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://far:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(far)
 
 
 def test_cli(spark, tmp_path, capsys, monkeypatch):
