@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merset.functions.kmers import distance, lower_bound, profile, upper_bound, within
+from merset.session import partitions
 
 
 def profiled(universe: DataFrame, k: int) -> DataFrame:
@@ -46,7 +47,12 @@ def _exploded(rows: DataFrame, keys: list[tuple[int, int, int]], side: int) -> D
 
 
 def sharing(left: DataFrame, right: DataFrame, k: int, d: int, metric: str) -> DataFrame:
-    """a, b (structs of each side's columns) of the pairs that share a piece, each once; among them all within d. Sides have enc and kmer; a k-mer is not paired with itself."""
+    """a, b (structs of each side's columns) of the pairs that share a piece, each once; among them all within d. Sides have enc and kmer; a k-mer is not paired with itself.
+
+    The pairs are the work here and the rows are few, so the left side is dealt
+    over all tasks first: partitions sized by their bytes would be one or two.
+    """
+    left = left.repartition(partitions(left.sparkSession), "enc")
     keys = piece_keys(k, d, metric)
     a, b = _exploded(left, keys, 0).alias("a"), _exploded(right, keys, 1).alias("b")
     joined = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.enc") != F.col("b.enc")))

@@ -24,8 +24,9 @@ from merset.sources.universe import full_universe
 METRICS, METHODS, ORDERS = ("edit", "hamming"), ("simple", "improved", "bfs"), ("lex", "affine", "random")
 #: Members that the simple method compares with every candidate, by broadcast; beyond, they meet by a join on pieces.
 MOST_BROADCAST = 1_000
-#: Where the chunks of the order after the first begin, as shares of the rank's range.
-CHUNKS = (1 / 16, 1 / 4)
+#: Vertices of the order's first chunk; and how many times as many the chunks up to the next one have together.
+FIRST = 128
+GROWTH = 8
 
 
 def not_covered(candidates: DataFrame, members: DataFrame, k: int, d: int, metric: str) -> DataFrame:
@@ -37,13 +38,16 @@ def not_covered(candidates: DataFrame, members: DataFrame, k: int, d: int, metri
 
 
 def _chunks(vertices: DataFrame) -> Iterator[DataFrame]:
-    """Parts of the order, one after the other; a pinned vertex is in the first."""
-    first, last, lowest = vertices.agg(F.min("rank.at"), F.max("rank.at"), F.max("rank.pin")).first()
-    if first is None:
-        return
-    chunk = reduce(lambda c, x: c + (F.col("rank.at") >= first + int((last - first + 1) * x)).cast("int"), CHUNKS, F.lit(0))
-    dealt = cut(vertices.withColumn("chunk", F.when(F.col("rank.pin") < lowest, 0).otherwise(chunk)), "mis-chunks")
-    for i in range(len(CHUNKS) + 1):
+    """Parts of the order, one after the other; each is GROWTH - 1 times as large as all before.
+
+    The first is small, since only its conflicts are found before any member
+    is known; of the later ones most vertices are covered by then.
+    """
+    ends = [FIRST * GROWTH**j for j in range(60) if FIRST * GROWTH**j <= 4**30]
+    chunk = reduce(lambda c, end: c + (F.col("_place") > end).cast("int"), ends, F.lit(0))
+    dealt = cut(placed(vertices, "_place").withColumn("chunk", chunk).drop("_place"), "mis-chunks")
+    last = dealt.agg(F.max("chunk")).first()[0]
+    for i in range(0 if last is None else last + 1):
         yield dealt.where(F.col("chunk") == i).drop("chunk")
 
 
@@ -92,6 +96,7 @@ def _bfs(vertices: DataFrame, k: int, d: int, metric: str) -> DataFrame:
 
     No conflict is stored. Vertices outside the universe pass ranks on.
     """
+    vertices = cut(vertices, "mis-vertices")
     left = cut(vertices.select(vertex(F.col("enc")).alias("vid"), "rank"), "mis-left")
     found: list[DataFrame] = []
     while True:
@@ -126,7 +131,7 @@ def find_mis(universe: DataFrame | SparkSession, k: int, d: int, metric: str = "
         universe = full_universe(universe, k)
     pin = order != "lex" and (metric, method) == ("edit", "improved")
     sound = universe.where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$")).select("kmer").distinct().select(encode(F.col("kmer")).alias("enc"), "kmer")
-    vertices = cut(ranked(sound, k, order, seed, pin), "mis-vertices")
+    vertices = ranked(sound, k, order, seed, pin)
     members = {"simple": _simple, "improved": _improved, "bfs": _bfs}[method](vertices, k, d, metric)
     return placed(members, "sel_idx").select(F.col("sel_idx").cast("bigint").alias("sel_idx"), "enc", "kmer")
 

@@ -21,16 +21,17 @@ def kmer_counts(table: DataFrame, k: int, text: str = "text") -> DataFrame:
     """kmer, n: how often each k-mer occurs in the A, C, G and T letters (either case) of a text column.
 
     Other letters are left out first. Texts are cut into overlapping segments
-    before windows are taken, so a long text costs its length, not its square;
-    counts are summed in each task before the shuffle, which moves at most 4^k
+    before windows are taken, as bytes, where a piece is found without counting
+    letters up to it: a long text costs its length, not its square. Counts are summed in each task before the shuffle, which moves at most 4^k
     rows a task. Null and short texts give nothing.
     """
     check_domain(k)
-    letters = spread(table.select(text)).select(F.upper(F.regexp_replace(text, "[^ACGTacgt]", "")).alias("s")).where(F.length("s") >= k)
+    letters = spread(table.select(text)).select(F.upper(F.regexp_replace(text, "[^ACGTacgt]+", "")).cast("binary").alias("s")).where(F.length("s") >= k)
     starts = F.sequence(F.lit(0), F.floor((F.length("s") - k) / SEGMENT).cast("int"))
     segments = letters.select(F.explode(F.transform(starts, lambda i: F.substring(F.col("s"), i * SEGMENT + 1, F.lit(SEGMENT + k - 1)))).alias("s"))
     windows = segments.select("s", F.explode(F.sequence(F.lit(1), F.length("s") - (k - 1))).alias("i"))
-    return windows.select(F.substring("s", F.col("i"), F.lit(k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    counts = windows.select(F.substring("s", F.col("i"), F.lit(k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return counts.select(F.col("kmer").cast("string").alias("kmer"), "n")
 
 
 def kmers_of(table: DataFrame, k: int, text: str = "text", min_count: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ from test_kmers import DIST, kmers
 from merset.functions.kmers import decode, encode
 from merset import session
 from merset.operators import rootset
-from merset.plans import cli
+from merset.plans import cli, methods
 from merset.plans.methods import METHODS, assign, cover_from_neighbors, find_mis, not_covered
 from merset.plans.report import measured, size
 from merset.plans.verify import dependent_pairs, uncovered
@@ -51,7 +51,9 @@ def test_golden_sizes(spark, metric, k, d):
 
 @pytest.mark.parametrize("metric", ["edit", "hamming"])
 @pytest.mark.parametrize("method", METHODS)
-def test_methods_equal_sequential_greedy_on_subsets(spark, metric, method):
+def test_methods_equal_sequential_greedy_on_subsets(spark, metric, method, monkeypatch):
+    monkeypatch.setattr(methods, "FIRST", 10)  # three chunks
+    monkeypatch.setattr(methods, "GROWTH", 3)
     rng = random.Random(11)
     names = sorted(rng.sample(kmers(4), 90))
     u = spark.createDataFrame([(x,) for x in names], "kmer string").select(encode(F.col("kmer")).alias("enc"), "kmer")
@@ -86,8 +88,6 @@ def test_assignment_and_neighbor_cover(spark):
 
 
 def test_cover_check_without_broadcast(spark, monkeypatch):
-    import merset.plans.methods as methods
-
     u = full_universe(spark, 3).withColumn("rank", F.col("enc"))
     members = u.where("kmer in ('AAA', 'CCC')")
     want = {r.kmer for r in not_covered(u, members, 3, 2, "edit").collect()}
