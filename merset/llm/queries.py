@@ -41,7 +41,8 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    each = [F.struct(*[F.lit(x).alias(name) for x, name in zip(rule, ("host", "path", "action"), strict=True)]) for rule in URL_RULES]
+    rules = spark.range(1).select(F.inline(F.array(*each)))
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
