@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merset.llm import jpeg, language, lm, secrets, toxicity, warc
+from merset.llm.centroids import cluster_vectors
 from merset.llm.common import fold
 from merset.llm.decontam import find_leaks
 from merset.llm.mixture import mix_sources
 from merset.llm.neardup import near_duplicates
 from merset.llm.urlrules import judge_urls
+from merset.llm.whitening import whiten
 
 #: Rules that op5 applies: host, path, action.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -70,7 +72,15 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_language": op1_language, "op2_jpeg_payload": op2_jpeg_payload, "op3_context_mixing": op3_context_mixing, "op4_secret_ledger": op4_secret_ledger, "op5_url_rules": op5_url_rules, "op6_mix_sources": op6_mix_sources, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_benchmark_leaks": op10_benchmark_leaks}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), centroids=40, rounds=5, dims=64, scale=256, seed=2)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, offset=100_000)
+
+
+QUERIES = {"op1_language": op1_language, "op2_jpeg_payload": op2_jpeg_payload, "op3_context_mixing": op3_context_mixing, "op4_secret_ledger": op4_secret_ledger, "op5_url_rules": op5_url_rules, "op6_mix_sources": op6_mix_sources, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_benchmark_leaks": op10_benchmark_leaks, "op12_centroids": op12_centroids, "op13_whitening": op13_whitening}
 
 #: kind, pattern, group whose length counts, least length, as op4 has them; letters of assign's names in either case, ASCII only.
 _SECRETS = [
@@ -170,4 +180,23 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
 FROM r
 """
 
-ORACLES = {"op4_secret_ledger": OP4_SQL, "op5_url_rules": OP5_SQL, "op6_mix_sources": OP6_SQL, "op8_near_duplicates": OP8_SQL, "op9_warc": OP9_SQL}
+_PLACED = """
+d{r} AS (SELECT v.vec_id, v.q, c.j, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))::BIGINT AS distance FROM v JOIN c{r} c ON true),
+a{r} AS MATERIALIZED (SELECT vec_id, q, j, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, j) AS rn FROM d{r}) WHERE rn = 1)"""
+_MOVED = """,
+s{r} AS (SELECT j, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS q FROM (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT j, unnest(q) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY j, i) GROUP BY j),
+c{next} AS MATERIALIZED (SELECT c.j, coalesce(s.q, c.q) AS q FROM c{r} c LEFT JOIN s{r} s ON c.j = s.j),"""
+
+OP12_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT j, q FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS j, q FROM v) WHERE j < 40),
+{"".join(_PLACED.format(r=r) + _MOVED.format(r=r, next=r + 1) for r in range(5))}
+{_PLACED.format(r=5)}
+SELECT a.vec_id, a.j::INT AS cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(a.distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a5 a JOIN c5 c ON a.j = c.j
+"""
+
+ORACLES = {"op4_secret_ledger": OP4_SQL, "op5_url_rules": OP5_SQL, "op6_mix_sources": OP6_SQL, "op8_near_duplicates": OP8_SQL, "op9_warc": OP9_SQL, "op12_centroids": OP12_SQL}
