@@ -9,6 +9,7 @@ from merset.llm import jpeg, language, lm, secrets, toxicity, warc
 from merset.llm.centroids import cluster_vectors
 from merset.llm.common import fold
 from merset.llm.decontam import find_leaks
+from merset.llm.jaccard import ngram_components
 from merset.llm.mixture import mix_sources
 from merset.llm.neardup import near_duplicates
 from merset.llm.urlrules import judge_urls
@@ -72,6 +73,10 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"), centroids=40, rounds=5, dims=64, scale=256, seed=2)
 
@@ -80,7 +85,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, offset=100_000)
 
 
-QUERIES = {"op1_language": op1_language, "op2_jpeg_payload": op2_jpeg_payload, "op3_context_mixing": op3_context_mixing, "op4_secret_ledger": op4_secret_ledger, "op5_url_rules": op5_url_rules, "op6_mix_sources": op6_mix_sources, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_benchmark_leaks": op10_benchmark_leaks, "op12_centroids": op12_centroids, "op13_whitening": op13_whitening}
+QUERIES = {"op1_language": op1_language, "op2_jpeg_payload": op2_jpeg_payload, "op3_context_mixing": op3_context_mixing, "op4_secret_ledger": op4_secret_ledger, "op5_url_rules": op5_url_rules, "op6_mix_sources": op6_mix_sources, "op7_toxicity": op7_toxicity, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_benchmark_leaks": op10_benchmark_leaks, "op11_ngram_jaccard": op11_ngram_jaccard, "op12_centroids": op12_centroids, "op13_whitening": op13_whitening}
 
 #: kind, pattern, group whose length counts, least length, as op4 has them; letters of assign's names in either case, ASCII only.
 _SECRETS = [
@@ -155,21 +160,29 @@ r AS (
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM r
 """
 
-OP8_SQL = r"""
+
+
+def _jaccard_sql(words: int, percent: int, more: str = "") -> str:
+    """Components of the documents whose sets of shingles are at least so similar."""
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sh AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {words} THEN list_transform(range(1, len(ws) - {words - 2}), lambda i: array_to_string(ws[i:i + {words - 1}], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reach = e.x),
 c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id{more}
 FROM documents d JOIN c ON d.doc_id = c.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
+
+OP8_SQL = _jaccard_sql(3, 85, ", d.doc_id = c.component_id AS kept")
+OP11_SQL = _jaccard_sql(4, 85)
+
 OP9_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -199,4 +212,4 @@ SELECT a.vec_id, a.j::INT AS cluster, a.distance, (sum(a.distance) OVER (PARTITI
 FROM a5 a JOIN c5 c ON a.j = c.j
 """
 
-ORACLES = {"op4_secret_ledger": OP4_SQL, "op5_url_rules": OP5_SQL, "op6_mix_sources": OP6_SQL, "op8_near_duplicates": OP8_SQL, "op9_warc": OP9_SQL, "op12_centroids": OP12_SQL}
+ORACLES = {"op4_secret_ledger": OP4_SQL, "op5_url_rules": OP5_SQL, "op6_mix_sources": OP6_SQL, "op8_near_duplicates": OP8_SQL, "op9_warc": OP9_SQL, "op11_ngram_jaccard": OP11_SQL, "op12_centroids": OP12_SQL}
