@@ -86,14 +86,26 @@ def within(metric: str, d: int, a: str, b: str) -> Column:
     return F.levenshtein(F.col(f"{a}.kmer"), F.col(f"{b}.kmer"), d) >= 0
 
 
-def lower_bound(a: str, b: str) -> Column:
-    """Largest difference of the two profiles: no distance is smaller."""
-    return F.greatest(*[F.abs(F.col(f"{a}.{x}") - F.col(f"{b}.{x}")) for x in ("da", "dc", "dg", "dt")])
+def pivot_distances(metric: str, pivots: tuple[str, ...]) -> dict[str, Column]:
+    """p0, p1, ...: a row's distance (enc, kmer) to each of some fixed k-mers."""
+    codes = [sum(BASES.index(x) * 4**i for i, x in enumerate(reversed(p))) for p in pivots]
+    if metric == "hamming":
+        return {f"p{i}": hamming(F.col("enc"), F.lit(c).cast("bigint")).cast("int") for i, c in enumerate(codes)}
+    return {f"p{i}": F.levenshtein("kmer", F.lit(p)) for i, p in enumerate(pivots)}
+
+
+def _references(pivots: int) -> list[str]:
+    return ["da", "dc", "dg", "dt", *[f"p{i}" for i in range(pivots)]]
+
+
+def lower_bound(a: str, b: str, pivots: int = 0) -> Column:
+    """Largest difference of the distances to the four k-mers of one base (and to pivots): no distance is smaller."""
+    return F.greatest(*[F.abs(F.col(f"{a}.{x}") - F.col(f"{b}.{x}")) for x in _references(pivots)])
 
 
-def upper_bound(a: str, b: str) -> Column:
-    """Smallest sum of the two profiles: no distance is larger."""
-    return F.least(*[F.col(f"{a}.{x}") + F.col(f"{b}.{x}") for x in ("da", "dc", "dg", "dt")])
+def upper_bound(a: str, b: str, pivots: int = 0) -> Column:
+    """Smallest sum of the distances to the four k-mers of one base (and to pivots): no distance is larger."""
+    return F.least(*[F.col(f"{a}.{x}") + F.col(f"{b}.{x}") for x in _references(pivots)])
 
 
 def check_domain(k: int, d: int | None = None) -> None:

@@ -1,13 +1,20 @@
-"""Conflicts: pairs of k-mers within distance d, by an equi-join on pieces.
+"""Conflicts: pairs of k-mers within distance d, by one of three equi-joins, each of them exact.
 
-Cut a k-mer into d + 1 pieces. If another of the same length is within d
+**Pieces**, for d small beside k. Cut a k-mer into d + 1 pieces. If another of the same length is within d
 substitutions, it has one of the pieces at the same place; within d edits, it
 has one of them moved by few places, and the i-th piece by min(i, d - i) at
 most (Li, Deng, Wang and Feng, Pass-Join, 2011). So a k-mer has at most
 (d + 1) (d + 2) / 2 keys, whatever k is, and a piece of k / (d + 1) bases is rare
-unless d is near k. A pair is taken where its first equal piece is, so no
-duplicates have to be removed, and its distance is worked out only where the
-bounds of the profiles leave it open.
+unless d is above k / 3. A pair is taken where its first equal piece is, so no
+duplicates have to be removed.
+
+**Meeting** in the middle (``meeting``), for larger d: only pairs within d are ever formed, at the cost of a ball of half the radius a row.
+
+**Profiles** (``grid``), for few rows, or d so large that hardly a pair is far: pairs that the profiles don't reject.
+
+Which is expected to take the fewest rows follows from k, d and both sides'
+sizes (``cheapest``). The distance of a pair is worked out only where the bounds of profiles
+and pivots leave it open.
 """
 
 from __future__ import annotations
@@ -15,7 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merset.functions.kmers import distance, lower_bound, profile, upper_bound, within
+from merset.functions.kmers import distance, lower_bound, pivot_distances, profile, upper_bound, within
+from merset.operators.grid import by_profile, grid_rates
+from merset.operators.meeting import ball_size, halves, meeting
 from merset.session import partitions
 
 
@@ -24,6 +33,21 @@ def profiled(universe: DataFrame, k: int) -> DataFrame:
     return universe.withColumns(profile(F.col("kmer"), k))
 
 
+def costs(k: int, d: int, metric: str) -> dict[str, tuple[float, float, float]]:
+    """way: (rows that a left k-mer becomes, rows that a right one becomes, rows a pair that are joined), over uniform k-mers."""
+    keys = piece_keys(k, d, metric)
+    up, down = (ball_size(k, steps, metric) for steps in halves(d))
+    looks, meets = grid_rates(k, d)
+    vertices = 4**k + (4 ** (k - 1) if metric == "edit" else 0)
+    return {"pieces": (len(keys), len(keys), sum(0.25**n for _, _, n in keys)), "meeting": (up, down, up * down / vertices), "profiles": (looks, 1.0, meets)}
+
+
+def cheapest(k: int, d: int, metric: str, n_left: int, n_right: int) -> str:
+    """The way that takes the fewest rows."""
+    total = {way: n_left * l + n_right * r + n_left * n_right * both for way, (l, r, both) in costs(k, d, metric).items()}
+    return min(total, key=lambda way: total[way])
+
+
 def pieces(k: int, d: int) -> list[tuple[int, int]]:
     """(start, length) of d + 1 pieces; the longer ones in the middle, which are looked for at the most places."""
     size, more = divmod(k, d + 1)
@@ -61,14 +85,26 @@ def sharing(left: DataFrame, right: DataFrame, k: int, d: int, metric: str) -> D
     return joined.where(F.array_position(equal, True) == F.col("a.at") + 1).select(side("a", left), side("b", right))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, k: int, d: int, metric: str) -> DataFrame:
-    """As ``sharing``, of the pairs within d only: bounds reject, bounds accept, and the distance decides the rest."""
-    pairs = sharing(profiled(left, k), profiled(right, k), k, d, metric)
-    return pairs.where(F.when(lower_bound("a", "b") > d, False).when(upper_bound("a", "b") <= d, True).otherwise(within(metric, d, "a", "b")))
+def near_pairs(left: DataFrame, right: DataFrame, k: int, d: int, metric: str, way: str | None = None, pivots: tuple[str, ...] = ()) -> DataFrame:
+    """a, b (structs of each side's columns) of the pairs within d, each once; a k-mer is not paired with itself.
+
+    Sides have enc and kmer and are counted, so they should be cheap to read.
+    Bounds reject, bounds accept, and the distance decides the rest. pivots: k-mers whose
+    distances to both sides are worked out once a row and bound those of pairs, as the
+    four of one base do.
+    """
+    way = way or cheapest(k, d, metric, left.count(), right.count())
+    if way == "meeting":
+        sides = [rows.select(F.col("enc").alias(x), F.struct(*rows.columns).alias(f"{x}_")) for x, rows in (("a", left), ("b", right))]
+        return meeting(left, right, k, d, metric).join(sides[0], "a").join(sides[1], "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+    sides = [profiled(rows, k).withColumns(pivot_distances(metric, pivots)) for rows in (left, right)]
+    pairs = by_profile(*sides, k, d) if way == "profiles" else sharing(*sides, k, d, metric)
+    more = len(pivots)
+    return pairs.where(F.when(lower_bound("a", "b", more) > d, False).when(upper_bound("a", "b", more) <= d, True).otherwise(within(metric, d, "a", "b")))
 
 
 def conflicts(universe: DataFrame, k: int, d: int, metric: str, bounds: bool = True) -> DataFrame:
-    """a, b (enc) of ordered pairs within d; with bounds, distances are worked out only where they leave it open."""
+    """a, b (enc) of ordered pairs within d; with bounds, by the cheapest way, and distances are worked out only where they leave it open."""
     rows = universe.select("enc", "kmer")
     pairs = near_pairs(rows, rows, k, d, metric) if bounds else sharing(rows, rows, k, d, metric).where(within(metric, d, "a", "b"))
     return pairs.select(F.col("a.enc").alias("a"), F.col("b.enc").alias("b"))

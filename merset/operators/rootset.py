@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from merset.session import cut
 
-#: State rows that are left when one task walks them in order, instead of further rounds; 16 bytes and a rank each.
-FEW = 200_000
+#: State rows that are left when one task walks them in order, instead of further rounds, each of several small jobs.
+FEW = 4_000
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,8 +39,15 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"enc": pa.array([now] if free else [], pa.int64())})
 
 
-def greedy_roots(vertices: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """enc of the selected vertices (enc, rank); conflicts: a, b in both directions.
+def _told(state: DataFrame, told: list[int] | None) -> int:
+    n = state.count()
+    if told is not None:
+        told.append(n)
+    return n
+
+
+def greedy_roots(vertices: DataFrame, conflicts: DataFrame, told: list[int] | None = None) -> DataFrame:
+    """enc of the selected vertices (enc, rank); conflicts: a, b in both directions. told: gets the rows of the state at the start of each round.
 
     The state is one table: (v, v) for each undecided vertex, and (a, b) for
     each conflict of an earlier with a later one. Vertices that only their own
@@ -56,7 +63,7 @@ def greedy_roots(vertices: DataFrame, conflicts: DataFrame) -> DataFrame:
     )
     state = cut(vertices.select(F.col("enc").alias("a"), F.col("enc").alias("b"), "rank").unionByName(edges), "mis-state")
     found: list[DataFrame] = []
-    while (left := state.count()) > FEW:
+    while (left := _told(state, told)) > FEW:
         roots = state.groupBy("b").agg(F.bool_and(F.col("a") == F.col("b")).alias("root")).where("root").select(F.col("b").alias("a"))
         decided = state.join(roots, "a", "left_semi").select(F.col("b").alias("enc")).distinct()
         open_ = state.join(decided.select(F.col("enc").alias("b")), "b", "left_anti").join(decided.select(F.col("enc").alias("a")), "a", "left_anti")

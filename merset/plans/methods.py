@@ -6,7 +6,7 @@ conflicts are found.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,7 @@ from merset.operators.ball import balls
 from merset.operators.conflict import conflicts, first_covers, near_pairs
 from merset.operators.neighbors import unit_neighbors
 from merset.operators.orders import placed, ranked
+from merset.operators.reach import compacted, nearer, reach_within
 from merset.operators.rootset import greedy_roots
 from merset.session import cut
 from merset.sources.universe import full_universe
@@ -27,6 +28,11 @@ MOST_BROADCAST = 1_000
 #: Vertices of the order's first chunk; and how many times as many the chunks up to the next one have together.
 FIRST = 128
 GROWTH = 8
+#: Survivors of a chunk among which conflicts are searched first; and rows that such a search is meant to find at most, or MOST_A_MEMBER for each member so far if that is more.
+PART = 256
+MOST_STATE, MOST_A_MEMBER = 50_000, 16
+#: Up to so many vertices are counted off by a sort of the first ones in each task, more by a sketch.
+COUNTED = 100_000
 
 
 def not_covered(candidates: DataFrame, members: DataFrame, k: int, d: int, metric: str) -> DataFrame:
@@ -45,23 +51,55 @@ def _chunks(vertices: DataFrame) -> Iterator[DataFrame]:
     """
     ends = [FIRST * GROWTH**j for j in range(60) if FIRST * GROWTH**j <= 4**30]
     chunk = reduce(lambda c, end: c + (F.col("_place") > end).cast("int"), ends, F.lit(0))
-    dealt = cut(placed(vertices, "_place").withColumn("chunk", chunk).drop("_place"), "mis-chunks")
+    dealt = cut(placed(vertices, "_place").withColumn("chunk", chunk), "mis-chunks")
     last = dealt.agg(F.max("chunk")).first()[0]
     for i in range(0 if last is None else last + 1):
         yield dealt.where(F.col("chunk") == i).drop("chunk")
 
 
-def _simple(vertices: DataFrame, k: int, d: int, metric: str) -> DataFrame:
-    """Chunks of the order against the members so far, then greedy rounds among each chunk's survivors."""
+def _first(queue: DataFrame, n: int, size: int) -> int:
+    """The place up to which ``queue`` (n rows) has about ``size`` vertices; exactly, up to COUNTED."""
+    if size <= COUNTED:
+        return queue.select("_place").orderBy("_place").limit(size).agg(F.max("_place")).first()[0]
+    return int(queue.approxQuantile("_place", [size / n], size / n / 10)[0])
+
+
+def _in_parts(queue: DataFrame, members: list[DataFrame], conflicting: Callable[[DataFrame], DataFrame], without: Callable[[DataFrame, DataFrame], DataFrame], told: list[int] | None) -> None:
+    """Appends to ``members`` those among ``queue`` (enc, kmer, rank, _place), part by part of the order.
+
+    What a part's members cover leaves the queue before conflicts of the next
+    part are searched. So where members cover much, few conflicts are ever
+    found; and where they cover little, parts grow with the members there are.
+    """
+    size, n_members = PART, sum(m.count() for m in members)
+    while n := queue.count():
+        end = None if n <= size else _first(queue, n, size)
+        part = queue if end is None else queue.where(F.col("_place") <= end)
+        states: list[int] = []
+        found = cut(greedy_roots(part, conflicting(part), states).join(part, "enc"), "mis-members")
+        members.append(found)
+        if told is not None:
+            told += states
+        if end is None:
+            return
+        queue = cut(without(queue.where(F.col("_place") > end), found), "mis-queue")
+        n_members += found.count()
+        most = max(MOST_STATE, MOST_A_MEMBER * n_members)
+        size = int(min(8.0, (most / states[0]) ** 0.5) * size) if states[0] < most else max(64, size // 2)
+
+
+def _simple(vertices: DataFrame, k: int, d: int, metric: str, told: list[int] | None = None) -> DataFrame:
+    """Chunks of the order against the members so far, then greedy rounds among parts of each chunk's survivors. told: gets the rows of every round's state."""
     members: list[DataFrame] = []
+    without = lambda rest, found: not_covered(rest, found, k, d, metric)
     for part in _chunks(vertices):
         if members:
-            part = cut(not_covered(part, reduce(DataFrame.unionByName, members), k, d, metric), "mis-survivors")
-        members.append(cut(greedy_roots(part, conflicts(part, k, d, metric, bounds=False)).join(part, "enc"), "mis-members"))
+            part = cut(without(part, reduce(DataFrame.unionByName, members)), "mis-survivors")
+        _in_parts(part, members, lambda rows: conflicts(rows, k, d, metric, bounds=False), without, told)
     return reduce(DataFrame.unionByName, members) if members else vertices
 
 
-def _improved(vertices: DataFrame, k: int, d: int, metric: str) -> DataFrame:
+def _improved(vertices: DataFrame, k: int, d: int, metric: str, told: list[int] | None = None) -> DataFrame:
     """As the simple method, with less to compare: neighbours' covers first, then bounds.
 
     A chunk's k-mers are first tried against the members that cover one of
@@ -71,17 +109,21 @@ def _improved(vertices: DataFrame, k: int, d: int, metric: str) -> DataFrame:
     """
     members: list[DataFrame] = []
     known: list[DataFrame] = []
+
+    def without(rest: DataFrame, found: DataFrame) -> DataFrame:
+        covers = cut(first_covers(rest, found.select("enc", "kmer", F.col("rank").alias("place")), k, d, metric).select("enc", "cover", "cover_kmer"), "mis-covers")
+        known.append(covers)
+        return rest.join(covers, "enc", "left_anti")
+
     for part in _chunks(vertices):
+        before = len(members)
         if members:
-            taken = reduce(DataFrame.unionByName, members)
+            taken = cut(reduce(DataFrame.unionByName, members), "mis-members")
             heard = cut(cover_from_neighbors(part, reduce(DataFrame.unionByName, known), k, d, metric).join(taken.select(F.col("enc").alias("cover"), F.col("kmer").alias("cover_kmer")), "cover").select("enc", "cover", "cover_kmer"), "mis-heard")
-            asked = part.join(heard, "enc", "left_anti")
-            found = cut(first_covers(asked, taken.select("enc", "kmer", F.col("rank").alias("place")), k, d, metric).select("enc", "cover", "cover_kmer"), "mis-covers")
-            known += [heard, found]
-            part = cut(asked.join(found, "enc", "left_anti"), "mis-survivors")
-        roots = cut(greedy_roots(part, conflicts(part, k, d, metric)).join(part, "enc"), "mis-members")
-        members.append(roots)
-        known.append(roots.select("enc", F.col("enc").alias("cover"), F.col("kmer").alias("cover_kmer")))
+            known.append(heard)
+            part = cut(without(part.join(heard, "enc", "left_anti"), taken), "mis-survivors")
+        _in_parts(part, members, lambda rows: conflicts(rows, k, d, metric), without, told)
+        known += [m.select("enc", F.col("enc").alias("cover"), F.col("kmer").alias("cover_kmer")) for m in members[before:]]
     return reduce(DataFrame.unionByName, members) if members else vertices
 
 
@@ -91,26 +133,34 @@ def _spread_least(values: DataFrame, k: int, metric: str) -> DataFrame:
     return values.unionByName(ahead).groupBy("vid").agg(F.min("least").alias("least"))
 
 
-def _bfs(vertices: DataFrame, k: int, d: int, metric: str) -> DataFrame:
+def _bfs(vertices: DataFrame, k: int, d: int, metric: str, told: list[dict[str, int]] | None = None) -> DataFrame:
     """Floods ranks d steps over unit edits: who hears nothing smaller is a root, and who hears a root is covered.
 
-    No conflict is stored. Vertices outside the universe pass ranks on.
+    No conflict is stored. Vertices outside the universe pass ranks on. How far
+    the nearest member is persists over the rounds (``reach``): new members
+    move on only where they are nearer than any before, and ranks only through
+    vertices that can lie between two open ones. told: gets a round's open
+    vertices and the rows that its new members reached.
     """
     vertices = cut(vertices, "mis-vertices")
     left = cut(vertices.select(vertex(F.col("enc")).alias("vid"), "rank"), "mis-left")
     found: list[DataFrame] = []
-    while True:
+    reach: list[DataFrame] = []
+    while not left.isEmpty():
         heard = left.select("vid", F.col("rank").alias("least"))
-        for _ in range(d):
+        for step in range(1, d + 1):
             heard = _spread_least(heard, k, metric)
+            if reach:
+                heard = heard.join(reach_within(reach, step), "vid", "left_anti")
         roots = cut(left.join(heard, "vid").where(F.col("rank") == F.col("least")).select("vid"), "mis-roots")
         found.append(roots)
-        covered = roots
-        for _ in range(d):
-            covered = covered.unionByName(covered.select(F.explode(unit_neighbors(F.col("vid"), k, metric)).alias("vid"))).distinct()
-        left = cut(left.join(covered.where(is_kmer(F.col("vid"))), "vid", "left_anti"), "mis-left")
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, found).select(code_of(F.col("vid")).alias("enc")).join(vertices, "enc")
+        new = nearer(roots, reach, k, d, metric)
+        if told is not None:
+            told.append({"open": left.count(), "reached": sum(x.count() for x in new)})
+        reach = compacted([*reach, *new])
+        covered = reduce(DataFrame.unionByName, new).where(is_kmer(F.col("vid")))
+        left = cut(left.join(covered, "vid", "left_anti"), "mis-left")
+    return reduce(DataFrame.unionByName, found).select(code_of(F.col("vid")).alias("enc")).join(vertices, "enc") if found else vertices
 
 
 def find_mis(universe: DataFrame | SparkSession, k: int, d: int, metric: str = "edit", method: str = "improved", order: str = "lex", seed: int = 0) -> DataFrame:
@@ -133,7 +183,7 @@ def find_mis(universe: DataFrame | SparkSession, k: int, d: int, metric: str = "
     sound = universe.where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$")).select("kmer").distinct().select(encode(F.col("kmer")).alias("enc"), "kmer")
     vertices = ranked(sound, k, order, seed, pin)
     members = {"simple": _simple, "improved": _improved, "bfs": _bfs}[method](vertices, k, d, metric)
-    return placed(members, "sel_idx").select(F.col("sel_idx").cast("bigint").alias("sel_idx"), "enc", "kmer")
+    return placed(members.select("enc", "kmer", "rank"), "sel_idx").select(F.col("sel_idx").cast("bigint").alias("sel_idx"), "enc", "kmer")
 
 
 def assign(universe: DataFrame, mis: DataFrame, k: int, d: int, metric: str) -> DataFrame:

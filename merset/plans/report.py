@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,50 @@ def _executors(spark: SparkSession) -> tuple[float, float]:
     rows = spark.sparkContext._jsc.sc().statusStore().executorList(False)
     each = [rows.apply(i) for i in range(rows.size())]
     return sum(e.totalDuration() for e in each) / 1000, sum(e.totalGCTime() for e in each) / 1000
+
+
+#: A stage's row: stage and its last attempt, its name, tasks that ended, seconds of tasks (run, CPU, garbage collection), and bytes (largest peak of a task's execution memory, spills, shuffles, files).
+STAGE = "stage int, attempt int, name string, tasks int, failed_tasks int, run_s double, cpu_s double, gc_s double, peak_memory bigint, memory_spilled bigint, disk_spilled bigint, shuffle_read bigint, shuffle_written bigint, rows_read bigint, bytes_read bigint, bytes_written bigint"
+
+
+@contextmanager
+def stages_measured(spark: SparkSession, out: list[DataFrame]):
+    """Appends to ``out`` a DataFrame with a row for each stage that the block's jobs ran, on whichever executors.
+
+    The jobs are told apart by a job group, so what other threads run at the
+    same time is left out; the caller's own group is set again at the end. Spark keeps
+    ``spark.ui.retainedStages`` stages (1,000 if unset): those of longer blocks are
+    missing from the front. A stage that was skipped, as its shuffle was there already, has no row.
+    """
+    context, group = spark.sparkContext, uuid.uuid4().hex
+    names = ("spark.jobGroup.id", "spark.job.description")
+    before = [context.getLocalProperty(x) for x in names]
+    context.setJobGroup(group, "measured")
+    try:
+        yield
+    finally:
+        for x, value in zip(names, before, strict=True):
+            context.setLocalProperty(x, value)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    out.append(spark.createDataFrame(_stages(spark, group), STAGE))
+
+
+def _stages(spark: SparkSession, group: str) -> list[tuple]:
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jobs = store.jobsList(None)
+    wanted = set()
+    for job in (jobs.apply(i) for i in range(jobs.size())):
+        if job.jobGroup().isDefined() and job.jobGroup().get() == group:
+            ids = job.stageIds()
+            wanted |= {ids.apply(i) for i in range(ids.size())}
+    rows = []
+    for stage in sorted(wanted):
+        try:
+            s = store.lastStageAttempt(stage)
+        except Py4JJavaError:  # no longer kept
+            continue
+        if s.status().toString() != "SKIPPED":
+            seconds = (s.executorRunTime() / 1e3, s.executorCpuTime() / 1e9, s.jvmGcTime() / 1e3)
+            sizes = (s.peakExecutionMemory(), s.memoryBytesSpilled(), s.diskBytesSpilled(), s.shuffleReadBytes(), s.shuffleWriteBytes(), s.inputRecords(), s.inputBytes(), s.outputBytes())
+            rows.append((s.stageId(), s.attemptId(), s.name(), s.numCompleteTasks(), s.numFailedTasks(), *seconds, *sizes))
+    return rows

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from merset.functions.kmers import code_of, decode, deletions, distance, insertions, is_kmer, lower_bound, profile, substitutions, upper_bound, vertex
 from merset.operators.ball import balls, named_balls
-from merset.operators.conflict import conflicts, first_covers, profiled
+from merset.operators.conflict import conflicts, first_covers, near_pairs, profiled
+from merset.operators.meeting import meeting
 from merset.operators.neighbors import unit_edges
 from merset.operators.orders import placed, ranked
+from merset.operators.reach import compacted, nearer
 from merset.plans.methods import assign, cover_from_neighbors, find_mis
 from merset.plans.report import size
 from merset.plans.verify import dependent_pairs, uncovered
@@ -106,6 +108,30 @@ for _metric in ("edit", "hamming"):
     _pairs(f"blocked_conflict_pairs_{_metric}_k5_d2", _metric, False, 5, 2)
 
 
+def _near_counts(way: str, metric: str, k: int, d: int, pivots: tuple[str, ...] = ()) -> None:
+    """For each k-mer, how many others are within d, and their distances' sum, by one way of finding the pairs."""
+
+    @query(
+        f"near_counts_{way}{'_pivots' if pivots else ''}_{metric}_k{k}_d{d}",
+        f"""WITH {km_sql(k)} SELECT a.kmer, count(*) AS n, sum({SQL_DISTANCE[metric]}(a.kmer, b.kmer))::BIGINT AS total
+FROM km a JOIN km b ON a.enc <> b.enc AND {SQL_DISTANCE[metric]}(a.kmer, b.kmer) <= {d} GROUP BY a.kmer""",
+    )
+    def _(spark, sf_dir):
+        u = universe(spark, sf_dir, k)
+        if way == "meeting":
+            pairs = meeting(u, u, k, d, metric).select(decode(F.col("a"), k).alias("kmer"), "dist")
+        else:
+            pairs = near_pairs(u, u, k, d, metric, way, pivots).select("a.kmer", distance(metric, "a", "b").alias("dist"))
+        return pairs.groupBy("kmer").agg(F.count("*").alias("n"), F.sum("dist").cast("bigint").alias("total"))
+
+
+_near_counts("meeting", "edit", 5, 3)
+_near_counts("meeting", "hamming", 6, 3)
+_near_counts("profiles", "edit", 5, 3)
+_near_counts("profiles", "hamming", 6, 2)
+_near_counts("pieces", "edit", 6, 2, ("ACGTAC", "GGTTCA", "TCATCG"))
+
+
 @query(
     "distance_histogram_k4",
     f"""WITH {km_sql(4)} SELECT levenshtein(a.kmer, b.kmer)::INT AS edit, hamming(a.kmer, b.kmer)::INT AS hamming, count(*) AS n
@@ -241,7 +267,8 @@ def _random(metric: str, method: str, seed: int) -> None:
         mis, again = (cut(find_mis(u, 4, 2, metric, method, "random", seed), "mis") for _ in range(2))
         told = lambda rows, name: rows.select(F.lit(name).alias("what"))
         other = mis.select("sel_idx", "kmer").exceptAll(again.select("sel_idx", "kmer"))
-        rows = told(u, "kmers").unionByName(told(dependent_pairs(mis, 4, 2, metric), "dependent")).unionByName(told(uncovered(u, mis, 4, 2, metric), "uncovered")).unionByName(told(other, "other"))
+        by = "pairs" if method == "bfs" else "balls"  # not the way that found them
+        rows = told(u, "kmers").unionByName(told(dependent_pairs(mis, 4, 2, metric, by), "dependent")).unionByName(told(uncovered(u, mis, 4, 2, metric, by), "uncovered")).unionByName(told(other, "other"))
         return rows.agg(*[F.count_if(F.col("what") == x).alias(x) for x in ("kmers", "dependent", "uncovered", "other")])
 
 
@@ -250,16 +277,35 @@ for _seed, _metric in enumerate(("edit", "hamming")):
         _random(_metric, _method, 3 + _seed)
 
 
+def _first_cover(name: str, metric: str) -> None:
+    @query(
+        name,
+        f"""WITH RECURSIVE {mis_sql(5, 2, metric)}
+SELECT km.kmer, arg_min(mis.kmer, sel_idx) AS cover, arg_min({SQL_DISTANCE[metric]}(km.kmer, mis.kmer), sel_idx)::INT AS dist
+FROM km JOIN mis ON {SQL_DISTANCE[metric]}(km.kmer, mis.kmer) <= 2 GROUP BY km.kmer""",
+    )
+    def _(spark, sf_dir):
+        u = universe(spark, sf_dir, 5)
+        mis = cut(find_mis(u, 5, 2, metric), "mis")
+        return first_covers(u, mis.withColumnRenamed("sel_idx", "place"), 5, 2, metric).select(decode(F.col("enc"), 5).alias("kmer"), F.col("cover_kmer").alias("cover"), "dist")
+
+
+_first_cover("mis_first_cover_k5_d2", "hamming")
+_first_cover("mis_first_cover_edit_k5_d2", "edit")
+
+
 @query(
-    "mis_first_cover_k5_d2",
-    f"""WITH RECURSIVE {mis_sql(5, 2, 'hamming')}
-SELECT km.kmer, arg_min(mis.kmer, sel_idx) AS cover, arg_min(hamming(km.kmer, mis.kmer), sel_idx)::INT AS dist
-FROM km JOIN mis ON hamming(km.kmer, mis.kmer) <= 2 GROUP BY km.kmer""",
+    "nearest_member_k5_d2",
+    f"""WITH RECURSIVE {mis_sql(5, 2, 'hamming')} SELECT km.kmer, min(levenshtein(km.kmer, mis.kmer))::INT AS dist FROM km JOIN mis ON levenshtein(km.kmer, mis.kmer) <= 2 GROUP BY km.kmer""",
 )
 def _(spark, sf_dir):
+    """How far the nearest member is, from the kept table: members of even places first, the others where they are nearer."""
     u = universe(spark, sf_dir, 5)
-    mis = cut(find_mis(u, 5, 2, "hamming"), "mis")
-    return first_covers(u, mis.withColumnRenamed("sel_idx", "place"), 5, 2, "hamming").select(decode(F.col("enc"), 5).alias("kmer"), F.col("cover_kmer").alias("cover"), "dist")
+    mis = cut(find_mis(u, 5, 2, "hamming"), "mis").select(vertex(F.col("enc")).alias("vid"), (F.col("sel_idx") % 2 == 0).alias("even"))
+    parts = nearer(mis.where("even"), [], 5, 2, "edit")
+    parts += nearer(mis.where("not even"), parts, 5, 2, "edit")
+    near = compacted(parts, 1)[0].where(is_kmer(F.col("vid"))).select(code_of(F.col("vid")).alias("enc"), "dist")
+    return u.join(near, "enc").select("kmer", "dist")
 
 
 @query(

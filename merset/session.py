@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,18 +52,28 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Removes what this process wrote below the shared folder, and returns how many paths that were.
+def clear_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Removes what this process wrote below the shared folder (after the first ``since`` paths), and returns how many paths that were.
 
     DataFrames that were returned before may read these files: write what is
     to be kept first.
     """
-    for path in _made:
+    old = _made[since:]
+    for path in old:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    n = len(_made)
-    _made.clear()
-    return n
+    del _made[since:]
+    return len(old)
+
+
+@contextmanager
+def scratch_cleared(spark: SparkSession) -> Iterator[None]:
+    """Removes what the block wrote below the shared folder when it ends, also by an error; what was there before stays."""
+    since = len(_made)
+    try:
+        yield
+    finally:
+        clear_scratch(spark, since)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
