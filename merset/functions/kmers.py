@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from merset.session import built_once
+
 BASES = "ACGT"
 #: A one in the low bit of each of 31 digits.
 _LOW_BITS = 0x1555555555555555
@@ -98,11 +100,13 @@ def _references(pivots: int) -> list[str]:
     return ["da", "dc", "dg", "dt", *[f"p{i}" for i in range(pivots)]]
 
 
+@built_once
 def lower_bound(a: str, b: str, pivots: int = 0) -> Column:
     """Largest difference of the distances to the four k-mers of one base (and to pivots): no distance is smaller."""
     return F.greatest(*[F.abs(F.col(f"{a}.{x}") - F.col(f"{b}.{x}")) for x in _references(pivots)])
 
 
+@built_once
 def upper_bound(a: str, b: str, pivots: int = 0) -> Column:
     """Smallest sum of the distances to the four k-mers of one base (and to pivots): no distance is larger."""
     return F.least(*[F.col(f"{a}.{x}") + F.col(f"{b}.{x}") for x in _references(pivots)])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merset.functions.kmers import code_of, decode, is_kmer, vertex
-from merset.operators.neighbors import unit_neighbors
+from merset.operators.neighbors import vid_neighbors
 
 
 def balls(sources: DataFrame, k: int, d: int, metric: str) -> DataFrame:
@@ -18,7 +18,7 @@ def balls(sources: DataFrame, k: int, d: int, metric: str) -> DataFrame:
     """
     reached = sources.select(F.col("enc").alias("src"), vertex(F.col("enc")).alias("vid"), F.lit(0).alias("dist"))
     for step in range(1, d + 1):
-        ahead = reached.where(F.col("dist") == step - 1).select("src", F.explode(unit_neighbors(F.col("vid"), k, metric)).alias("vid"), F.lit(step).alias("dist"))
+        ahead = reached.where(F.col("dist") == step - 1).select("src", F.explode(vid_neighbors(k, metric)).alias("vid"), F.lit(step).alias("dist"))
         reached = reached.unionByName(ahead).groupBy("src", "vid").agg(F.min("dist").alias("dist"))
     return reached.where(is_kmer(F.col("vid"))).select("src", code_of(F.col("vid")).alias("dst"), "dist")
 

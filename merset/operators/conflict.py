@@ -25,12 +25,17 @@ from pyspark.sql import functions as F
 from merset.functions.kmers import distance, lower_bound, pivot_distances, profile, upper_bound, within
 from merset.operators.grid import by_profile, grid_rates
 from merset.operators.meeting import ball_size, halves, meeting
-from merset.session import partitions
+from merset.session import built_once, partitions
 
 
 def profiled(universe: DataFrame, k: int) -> DataFrame:
     """The universe with da, dc, dg and dt."""
-    return universe.withColumns(profile(F.col("kmer"), k))
+    return universe.withColumns(_profile(k))
+
+
+@built_once
+def _profile(k: int) -> dict[str, Column]:
+    return profile(F.col("kmer"), k)
 
 
 def costs(k: int, d: int, metric: str) -> dict[str, tuple[float, float, float]]:
@@ -65,9 +70,17 @@ def piece_keys(k: int, d: int, metric: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _exploded(rows: DataFrame, keys: list[tuple[int, int, int]], side: int) -> DataFrame:
-    parts = F.array(*[F.substring("kmer", key[side] + 1, key[2]) for key in keys])
-    return rows.select("*", F.posexplode(parts).alias("at", "piece"))
+@built_once
+def _parts(k: int, d: int, metric: str, side: int) -> Column:
+    """A k-mer's pieces, at their places in one side or the other."""
+    return F.posexplode(F.array(*[F.substring("kmer", key[side] + 1, key[2]) for key in piece_keys(k, d, metric)])).alias("at", "piece")
+
+
+@built_once
+def _first_equal(k: int, d: int, metric: str) -> Column:
+    """Whether a pair of sides a and b meets on the first piece that they share."""
+    equal = F.array(*[F.substring("a.kmer", x + 1, n) == F.substring("b.kmer", y + 1, n) for x, y, n in piece_keys(k, d, metric)])
+    return F.array_position(equal, True) == F.col("a.at") + 1
 
 
 def sharing(left: DataFrame, right: DataFrame, k: int, d: int, metric: str) -> DataFrame:
@@ -77,23 +90,22 @@ def sharing(left: DataFrame, right: DataFrame, k: int, d: int, metric: str) -> D
     over all tasks first: partitions sized by their bytes would be one or two.
     """
     left = left.repartition(partitions(left.sparkSession), "enc")
-    keys = piece_keys(k, d, metric)
-    a, b = _exploded(left, keys, 0).alias("a"), _exploded(right, keys, 1).alias("b")
+    a, b = left.select("*", _parts(k, d, metric, 0)).alias("a"), right.select("*", _parts(k, d, metric, 1)).alias("b")
     joined = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.enc") != F.col("b.enc")))
-    equal = F.array(*[F.substring("a.kmer", x + 1, n) == F.substring("b.kmer", y + 1, n) for x, y, n in keys])
     side = lambda x, rows: F.struct(*[F.col(f"{x}.{c}").alias(c) for c in rows.columns]).alias(x)
-    return joined.where(F.array_position(equal, True) == F.col("a.at") + 1).select(side("a", left), side("b", right))
+    return joined.where(_first_equal(k, d, metric)).select(side("a", left), side("b", right))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, k: int, d: int, metric: str, way: str | None = None, pivots: tuple[str, ...] = ()) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, k: int, d: int, metric: str, way: str | None = None, pivots: tuple[str, ...] = (), sizes: tuple[int, int] | None = None) -> DataFrame:
     """a, b (structs of each side's columns) of the pairs within d, each once; a k-mer is not paired with itself.
 
-    Sides have enc and kmer and are counted, so they should be cheap to read.
+    Sides have enc and kmer. The way follows from their sizes; if these are not
+    given either, the sides are counted, so they should be cheap to read.
     Bounds reject, bounds accept, and the distance decides the rest. pivots: k-mers whose
     distances to both sides are worked out once a row and bound those of pairs, as the
     four of one base do.
     """
-    way = way or cheapest(k, d, metric, left.count(), right.count())
+    way = way or cheapest(k, d, metric, *(sizes or (left.count(), right.count())))
     if way == "meeting":
         sides = [rows.select(F.col("enc").alias(x), F.struct(*rows.columns).alias(f"{x}_")) for x, rows in (("a", left), ("b", right))]
         return meeting(left, right, k, d, metric).join(sides[0], "a").join(sides[1], "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
@@ -103,16 +115,23 @@ def near_pairs(left: DataFrame, right: DataFrame, k: int, d: int, metric: str, w
     return pairs.where(F.when(lower_bound("a", "b", more) > d, False).when(upper_bound("a", "b", more) <= d, True).otherwise(within(metric, d, "a", "b")))
 
 
-def conflicts(universe: DataFrame, k: int, d: int, metric: str, bounds: bool = True) -> DataFrame:
-    """a, b (enc) of ordered pairs within d; with bounds, by the cheapest way, and distances are worked out only where they leave it open."""
-    rows = universe.select("enc", "kmer")
-    pairs = near_pairs(rows, rows, k, d, metric) if bounds else sharing(rows, rows, k, d, metric).where(within(metric, d, "a", "b"))
+def conflicts(universe: DataFrame, k: int, d: int, metric: str, bounds: bool = True, size: int | None = None) -> DataFrame:
+    """a, b (enc) of ordered pairs within d, and where the universe has a rank, b's as ``rank``, of the pairs whose a comes first.
+
+    With bounds, by the cheapest way, and distances are worked out only where
+    they leave it open; otherwise by pieces. size: that of the universe, if known.
+    """
+    ranks = ["rank"] if "rank" in universe.columns else []
+    rows = universe.select("enc", "kmer", *ranks)
+    pairs = near_pairs(rows, rows, k, d, metric, sizes=None if size is None else (size, size)) if bounds else sharing(rows, rows, k, d, metric).where(within(metric, d, "a", "b"))
+    if ranks:
+        return pairs.where("a.rank < b.rank").select(F.col("a.enc").alias("a"), F.col("b.enc").alias("b"), F.col("b.rank").alias("rank"))
     return pairs.select(F.col("a.enc").alias("a"), F.col("b.enc").alias("b"))
 
 
-def first_covers(candidates: DataFrame, members: DataFrame, k: int, d: int, metric: str, dist: Column | None = None) -> DataFrame:
+def first_covers(candidates: DataFrame, members: DataFrame, k: int, d: int, metric: str, sizes: tuple[int, int] | None = None) -> DataFrame:
     """enc, cover, cover_kmer, dist: for each candidate (enc, kmer) within d of a member (enc, kmer, place), the member of the lowest place; a member covers itself."""
-    found = near_pairs(candidates.select("enc", "kmer"), members.select("enc", "kmer", "place"), k, d, metric)
+    found = near_pairs(candidates.select("enc", "kmer"), members.select("enc", "kmer", "place"), k, d, metric, sizes=sizes)
     of = F.struct(F.col("b.place").alias("place"), F.col("b.enc").alias("cover"), F.col("b.kmer").alias("cover_kmer"), distance(metric, "a", "b").cast("int").alias("dist"))
     own = candidates.select("enc").join(members.select("enc", "kmer", "place"), "enc").select("enc", F.struct("place", F.col("enc").alias("cover"), F.col("kmer").alias("cover_kmer"), F.lit(0).alias("dist")).alias("m"))
     return found.select(F.col("a.enc").alias("enc"), of.alias("m")).unionByName(own).groupBy("enc").agg(F.min("m").alias("m")).select("enc", "m.cover", "m.cover_kmer", "m.dist")

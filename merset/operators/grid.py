@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merset.functions.kmers import lower_bound
-from merset.session import partitions
+from merset.session import built_once, partitions
 
 #: k-mers of a block, about.
 BLOCK = 1000
@@ -33,11 +33,13 @@ def _packed(parts: list) -> Column | int:
     return ((a * 32 + c) * 32 + g) * 32 + t
 
 
+@built_once
 def cell(d: int) -> Column:
     """The cell of a row's profile."""
     return _packed([F.floor(F.col(x) / F.lit(d + 1)) for x in DIMENSIONS]).cast("int")
 
 
+@built_once
 def cells_in_reach(k: int, d: int) -> Column:
     """All cells that hold a profile within d of a row's, in every dimension, and can hold one at all."""
     w = d + 1

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merset.functions.kmers import vertex
-from merset.operators.neighbors import unit_neighbors
+from merset.operators.neighbors import vid_neighbors
 from merset.session import partitions
 
 
@@ -31,7 +31,7 @@ def flood(rows: DataFrame, k: int, steps: int, metric: str) -> DataFrame:
     reached = reached.select("enc", vertex(F.col("enc")).alias("vid"), F.lit(0).alias("dist")).dropDuplicates(["enc", "vid"])
     for step in range(1, steps + 1):
         here = F.array(F.struct("vid", "dist"))
-        ahead = F.transform(unit_neighbors(F.col("vid"), k, metric), lambda v: F.struct(v.alias("vid"), F.lit(step).alias("dist")))
+        ahead = F.transform(vid_neighbors(k, metric), lambda v: F.struct(v.alias("vid"), F.lit(step).alias("dist")))
         walked = reached.select("enc", F.explode(F.when(F.col("dist") == step - 1, F.concat(here, ahead)).otherwise(here)).alias("to"))
         reached = walked.select("enc", "to.vid", "to.dist").groupBy("enc", "vid").agg(F.min("dist").alias("dist"))
     return reached

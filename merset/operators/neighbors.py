@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merset.functions.kmers import code_of, deletions, insertions, is_kmer, substitutions, vertex
+from merset.session import built_once
 
 
 def unit_neighbors(vid: Column, k: int, metric: str) -> Column:
@@ -24,6 +25,12 @@ def unit_neighbors(vid: Column, k: int, metric: str) -> Column:
     return F.when(is_kmer(vid), F.concat(swap, lose)).otherwise(gain)
 
 
+@built_once
+def vid_neighbors(k: int, metric: str) -> Column:
+    """``unit_neighbors`` of the column vid."""
+    return unit_neighbors(F.col("vid"), k, metric)
+
+
 def unit_edges(vertices: DataFrame, k: int, metric: str) -> DataFrame:
     """src, dst for each vertex (vid) and unit edit of it."""
-    return vertices.select(F.col("vid").alias("src"), F.explode(unit_neighbors(F.col("vid"), k, metric)).alias("dst"))
+    return vertices.select(F.col("vid").alias("src"), F.explode(vid_neighbors(k, metric)).alias("dst"))

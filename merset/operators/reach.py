@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merset.operators.neighbors import unit_neighbors
+from merset.operators.neighbors import vid_neighbors
 from merset.session import cut
 
 #: Parts that are read one by one before they become one.
@@ -29,7 +29,7 @@ def nearer(members: DataFrame, parts: list[DataFrame], k: int, d: int, metric: s
     """New parts (vid, dist): what is nearer to one of ``members`` (vid) than to all before, up to d steps; one part a step."""
     new = [cut(members.select("vid", F.lit(0).alias("dist")), "reach")]
     for step in range(1, d + 1):
-        ahead = new[-1].select(F.explode(unit_neighbors(F.col("vid"), k, metric)).alias("vid")).distinct()
+        ahead = new[-1].select(F.explode(vid_neighbors(k, metric)).alias("vid")).distinct()
         new.append(cut(ahead.join(reach_within([*parts, *new], step), "vid", "left_anti").select("vid", F.lit(step).alias("dist")), "reach"))
     return new
 

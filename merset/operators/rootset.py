@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from merset.session import cut
 
 #: State rows that are left when one task walks them in order, instead of further rounds, each of several small jobs.
-FEW = 4_000
+FEW = 8_000
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +47,7 @@ def _told(state: DataFrame, told: list[int] | None) -> int:
 
 
 def greedy_roots(vertices: DataFrame, conflicts: DataFrame, told: list[int] | None = None) -> DataFrame:
-    """enc of the selected vertices (enc, rank); conflicts: a, b in both directions. told: gets the rows of the state at the start of each round.
+    """enc of the selected vertices (enc, rank); conflicts: a, b in both directions, or with b's rank, then from the earlier to the later only, each once. told: gets the rows of the state at the start of each round.
 
     The state is one table: (v, v) for each undecided vertex, and (a, b) for
     each conflict of an earlier with a later one. Vertices that only their own
@@ -56,11 +56,13 @@ def greedy_roots(vertices: DataFrame, conflicts: DataFrame, told: list[int] | No
     up to FEW rows are left, one task walks them in order.
     """
     of = vertices.select("enc", "rank")
-    edges = (
-        conflicts.join(of.select(F.col("enc").alias("a"), F.col("rank").alias("ra")), "a")
-        .join(of.select(F.col("enc").alias("b"), F.col("rank").alias("rank")), "b")
-        .where("ra < rank").select("a", "b", "rank").distinct()
-    )
+    edges = conflicts
+    if "rank" not in conflicts.columns:
+        edges = (
+            conflicts.join(of.select(F.col("enc").alias("a"), F.col("rank").alias("ra")), "a")
+            .join(of.select(F.col("enc").alias("b"), F.col("rank").alias("rank")), "b")
+            .where("ra < rank").select("a", "b", "rank").distinct()
+        )
     state = cut(vertices.select(F.col("enc").alias("a"), F.col("enc").alias("b"), "rank").unionByName(edges), "mis-state")
     found: list[DataFrame] = []
     while (left := _told(state, told)) > FEW:

@@ -9,17 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merset.functions.kmers import check_domain, code_of, encode, is_kmer, substitutions, vertex, within
 from merset.operators.ball import balls
 from merset.operators.conflict import conflicts, first_covers, near_pairs
-from merset.operators.neighbors import unit_neighbors
+from merset.operators.neighbors import vid_neighbors
 from merset.operators.orders import placed, ranked
 from merset.operators.reach import compacted, nearer, reach_within
 from merset.operators.rootset import greedy_roots
-from merset.session import cut
+from merset.session import built_once, cut
 from merset.sources.universe import full_universe
 
 METRICS, METHODS, ORDERS = ("edit", "hamming"), ("simple", "improved", "bfs"), ("lex", "affine", "random")
@@ -35,16 +35,16 @@ MOST_STATE, MOST_A_MEMBER = 50_000, 16
 COUNTED = 100_000
 
 
-def not_covered(candidates: DataFrame, members: DataFrame, k: int, d: int, metric: str) -> DataFrame:
-    """Candidates (enc, kmer, rank) further than d from all members: an anti join that stops at the first match."""
-    if members.count() <= MOST_BROADCAST:
+def not_covered(candidates: DataFrame, members: DataFrame, k: int, d: int, metric: str, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Candidates (enc, kmer, all columns) further than d from all members: an anti join that stops at the first match. A null kmer is near nothing, so it stays; sizes: of both sides, if known."""
+    if (sizes[1] if sizes else members.count()) <= MOST_BROADCAST:
         return candidates.alias("c").join(F.broadcast(members.select("enc", "kmer")).alias("m"), within(metric, d, "c", "m"), "left_anti")
-    near = near_pairs(candidates.select("enc", "kmer"), members.select("enc", "kmer"), k, d, metric).select("a.enc").unionByName(members.select("enc")).distinct()
+    near = near_pairs(candidates.select("enc", "kmer"), members.select("enc", "kmer"), k, d, metric, sizes=sizes).select("a.enc").unionByName(members.select("enc")).distinct()
     return candidates.join(near, "enc", "left_anti")
 
 
-def _chunks(vertices: DataFrame) -> Iterator[DataFrame]:
-    """Parts of the order, one after the other; each is GROWTH - 1 times as large as all before.
+def _chunks(vertices: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """Parts of the order and their sizes, one after the other; each is GROWTH - 1 times as large as all before.
 
     The first is small, since only its conflicts are found before any member
     is known; of the later ones most vertices are covered by then.
@@ -52,9 +52,10 @@ def _chunks(vertices: DataFrame) -> Iterator[DataFrame]:
     ends = [FIRST * GROWTH**j for j in range(60) if FIRST * GROWTH**j <= 4**30]
     chunk = reduce(lambda c, end: c + (F.col("_place") > end).cast("int"), ends, F.lit(0))
     dealt = cut(placed(vertices, "_place").withColumn("chunk", chunk), "mis-chunks")
-    last = dealt.agg(F.max("chunk")).first()[0]
-    for i in range(0 if last is None else last + 1):
-        yield dealt.where(F.col("chunk") == i).drop("chunk")
+    n = dealt.count()
+    for i, (before, end) in enumerate(zip([0, *ends], [*ends, n], strict=True)):
+        if before < n:
+            yield dealt.where(F.col("chunk") == i).drop("chunk"), min(end, n) - before
 
 
 def _first(queue: DataFrame, n: int, size: int) -> int:
@@ -64,38 +65,48 @@ def _first(queue: DataFrame, n: int, size: int) -> int:
     return int(queue.approxQuantile("_place", [size / n], size / n / 10)[0])
 
 
-def _in_parts(queue: DataFrame, members: list[DataFrame], conflicting: Callable[[DataFrame], DataFrame], without: Callable[[DataFrame, DataFrame], DataFrame], told: list[int] | None) -> None:
-    """Appends to ``members`` those among ``queue`` (enc, kmer, rank, _place), part by part of the order.
+#: What keeps the rows of the first argument that no member in the second is near, given both sizes.
+Without = Callable[[DataFrame, DataFrame, tuple[int, int]], DataFrame]
+
+
+def _in_parts(queue: DataFrame, n: int, n_members: int, conflicting: Callable[[DataFrame, int], DataFrame], without: Without, told: list[int] | None) -> tuple[list[DataFrame], int]:
+    """Members among ``queue`` (n rows of enc, kmer, rank, _place), part by part of the order, and how many members there are then.
 
     What a part's members cover leaves the queue before conflicts of the next
     part are searched. So where members cover much, few conflicts are ever
     found; and where they cover little, parts grow with the members there are.
     """
-    size, n_members = PART, sum(m.count() for m in members)
-    while n := queue.count():
+    size, members = PART, []
+    while n:
         end = None if n <= size else _first(queue, n, size)
         part = queue if end is None else queue.where(F.col("_place") <= end)
         states: list[int] = []
-        found = cut(greedy_roots(part, conflicting(part), states).join(part, "enc"), "mis-members")
+        found = cut(greedy_roots(part, conflicting(part, min(n, size)), states).join(part, "enc"), "mis-members")
         members.append(found)
+        new = found.count()
+        n_members += new
         if told is not None:
             told += states
         if end is None:
-            return
-        queue = cut(without(queue.where(F.col("_place") > end), found), "mis-queue")
-        n_members += found.count()
+            break
+        queue = cut(without(queue.where(F.col("_place") > end), found, (n - size, new)), "mis-queue")
+        n = queue.count()
         most = max(MOST_STATE, MOST_A_MEMBER * n_members)
         size = int(min(8.0, (most / states[0]) ** 0.5) * size) if states[0] < most else max(64, size // 2)
+    return members, n_members
 
 
 def _simple(vertices: DataFrame, k: int, d: int, metric: str, told: list[int] | None = None) -> DataFrame:
     """Chunks of the order against the members so far, then greedy rounds among parts of each chunk's survivors. told: gets the rows of every round's state."""
     members: list[DataFrame] = []
-    without = lambda rest, found: not_covered(rest, found, k, d, metric)
-    for part in _chunks(vertices):
+    n_members = 0
+    without = lambda rest, found, sizes: not_covered(rest, found, k, d, metric, sizes)
+    for part, n in _chunks(vertices):
         if members:
-            part = cut(without(part, reduce(DataFrame.unionByName, members)), "mis-survivors")
-        _in_parts(part, members, lambda rows: conflicts(rows, k, d, metric, bounds=False), without, told)
+            part = cut(without(part, reduce(DataFrame.unionByName, members), (n, n_members)), "mis-survivors")
+            n = part.count()
+        found, n_members = _in_parts(part, n, n_members, lambda rows, _: conflicts(rows, k, d, metric, bounds=False), without, told)
+        members += found
     return reduce(DataFrame.unionByName, members) if members else vertices
 
 
@@ -109,27 +120,29 @@ def _improved(vertices: DataFrame, k: int, d: int, metric: str, told: list[int]
     """
     members: list[DataFrame] = []
     known: list[DataFrame] = []
+    n_members = 0
 
-    def without(rest: DataFrame, found: DataFrame) -> DataFrame:
-        covers = cut(first_covers(rest, found.select("enc", "kmer", F.col("rank").alias("place")), k, d, metric).select("enc", "cover", "cover_kmer"), "mis-covers")
+    def without(rest: DataFrame, found: DataFrame, sizes: tuple[int, int]) -> DataFrame:
+        covers = cut(first_covers(rest, found.select("enc", "kmer", F.col("rank").alias("place")), k, d, metric, sizes).select("enc", "cover", "cover_kmer"), "mis-covers")
         known.append(covers)
         return rest.join(covers, "enc", "left_anti")
 
-    for part in _chunks(vertices):
-        before = len(members)
+    for part, n in _chunks(vertices):
         if members:
             taken = cut(reduce(DataFrame.unionByName, members), "mis-members")
             heard = cut(cover_from_neighbors(part, reduce(DataFrame.unionByName, known), k, d, metric).join(taken.select(F.col("enc").alias("cover"), F.col("kmer").alias("cover_kmer")), "cover").select("enc", "cover", "cover_kmer"), "mis-heard")
             known.append(heard)
-            part = cut(without(part.join(heard, "enc", "left_anti"), taken), "mis-survivors")
-        _in_parts(part, members, lambda rows: conflicts(rows, k, d, metric), without, told)
-        known += [m.select("enc", F.col("enc").alias("cover"), F.col("kmer").alias("cover_kmer")) for m in members[before:]]
+            part = cut(without(part.join(heard, "enc", "left_anti"), taken, (n, n_members)), "mis-survivors")
+            n = part.count()
+        found, n_members = _in_parts(part, n, n_members, lambda rows, size: conflicts(rows, k, d, metric, size=size), without, told)
+        members += found
+        known += [m.select("enc", F.col("enc").alias("cover"), F.col("kmer").alias("cover_kmer")) for m in found]
     return reduce(DataFrame.unionByName, members) if members else vertices
 
 
 def _spread_least(values: DataFrame, k: int, metric: str) -> DataFrame:
     """vid, least: the least value of a vertex and its unit neighbours; combined in each task before the shuffle."""
-    ahead = values.select(F.explode(unit_neighbors(F.col("vid"), k, metric)).alias("vid"), "least")
+    ahead = values.select(F.explode(vid_neighbors(k, metric)).alias("vid"), "least")
     return values.unionByName(ahead).groupBy("vid").agg(F.min("least").alias("least"))
 
 
@@ -197,13 +210,18 @@ def assign(universe: DataFrame, mis: DataFrame, k: int, d: int, metric: str) ->
     return universe.select("enc").join(best, F.col("enc") == F.col("dst")).select("enc", F.col("best.src").alias("cover"), F.col("best.dist").alias("dist"))
 
 
+@built_once
+def _self_and_swapped(k: int) -> Column:
+    return F.concat(F.array("enc"), substitutions(F.col("enc"), k))
+
+
 def cover_from_neighbors(candidates: DataFrame, assigned: DataFrame, k: int, d: int, metric: str) -> DataFrame:
     """enc, cover: candidates (enc, kmer) that lie within d of a member covering one of their substitution neighbours.
 
     assigned: enc, cover, cover_kmer of k-mers that have a cover. The lookup is
     an equi-join on generated neighbours; distinct covers are then verified.
     """
-    asked = candidates.select(F.col("enc").alias("own"), F.col("kmer").alias("own_kmer"), F.explode(F.concat(F.array("enc"), substitutions(F.col("enc"), k))).alias("enc"))
+    asked = candidates.select(F.col("enc").alias("own"), F.col("kmer").alias("own_kmer"), F.explode(_self_and_swapped(k)).alias("enc"))
     told = asked.join(assigned, "enc").select("own", "own_kmer", "cover", "cover_kmer").distinct()
     sides = told.select(F.struct(F.col("own").alias("enc"), F.col("own_kmer").alias("kmer")).alias("a"), F.struct(F.col("cover").alias("enc"), F.col("cover_kmer").alias("kmer")).alias("b"))
     return sides.where(within(metric, d, "a", "b")).groupBy(F.col("a.enc").alias("enc")).agg(F.min("b.enc").alias("cover"))

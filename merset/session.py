@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
 _made: list[str] = []
+_built: dict[tuple, tuple] = {}
 
 
 def get_spark(cores: int | str = "*", app: str = "merset", **conf: str) -> SparkSession:
@@ -105,3 +108,17 @@ def spread(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def built_once(f: Callable) -> Callable:
+    """A function of plain arguments whose result, made of Columns, is kept: each node of an expression is a call to the JVM, and a loop would build it again in every round."""
+
+    @wraps(f)
+    def get(*args):
+        jvm = SparkContext._gateway
+        held = _built.get((f, args))
+        if held is None or held[0] is not jvm:
+            held = _built[f, args] = (jvm, f(*args))
+        return held[1]
+
+    return get
