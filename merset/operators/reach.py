@@ -26,8 +26,8 @@ def reach_within(parts: list[DataFrame], dist: int) -> DataFrame:
 
 
 def nearer(members: DataFrame, parts: list[DataFrame], k: int, d: int, metric: str) -> list[DataFrame]:
-    """New parts (vid, dist): what is nearer to one of ``members`` (vid) than to all before, up to d steps; one part a step."""
-    new = [cut(members.select("vid", F.lit(0).alias("dist")), "reach")]
+    """New parts (vid, dist): what is nearer to one of ``members`` (vid; a written table) than to all before, up to d steps; one part a step."""
+    new = [members.select("vid", F.lit(0).alias("dist"))]
     for step in range(1, d + 1):
         ahead = new[-1].select(F.explode(vid_neighbors(k, metric)).alias("vid")).distinct()
         new.append(cut(ahead.join(reach_within([*parts, *new], step), "vid", "left_anti").select("vid", F.lit(step).alias("dist")), "reach"))
