@@ -14,8 +14,9 @@ connect it. (After Christiani, Pagh and Sivertsen, Scalable and Robust Set
 Similarity Join, 2018.)
 
 A large node that hardly shrinks is a dense group: near copies, or texts around
-one template. Minwise tokens tell nothing more there, so it is joined exactly on
-what its sets do not have in common; see ``dense_links``.
+one template. Minwise tokens tell nothing more there. Such nodes of all trees
+are merged where they hold the same classes, and each is joined exactly on what
+its sets do not have in common; see ``dense_links``. None is left out.
 """
 
 from __future__ import annotations
@@ -37,12 +38,14 @@ TREES = 8
 LEVELS = 5
 LEAF = 256
 BLOCK = 1024
-#: A child with more than this share of its parent is dense. Dense nodes are joined exactly in so many of the trees.
+#: A child with more than this share of its parent is dense.
 DENSE = 0.5
-EXACT_TREES = 6
 #: Sets that a dense node's template is made from, about, and shingles of a block or leaf there.
 SAMPLE = 200
 WIDE = 1 << 20
+#: Sets of a block where a dense node is compared in full, and how many pairs such a comparison may have for each row that branching would make.
+TILE = 2048
+PAIRS_A_ROW = 1 << 13
 _rng = np.random.default_rng(8)
 _MULT = _rng.integers(1, 1 << 63, T, dtype=np.uint64) | np.uint64(1)
 _STEP = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -120,12 +123,12 @@ def _populous(rows: DataFrame, tag: str) -> DataFrame:
 def tree_nodes(classes: DataFrame) -> DataFrame:
     """node, cls, n, size, total, exact: small nodes, and those large ones (dense, or still large at the last level) that are to be joined exactly.
 
-    classes: cls, n, sketch. Large nodes are taken from EXACT_TREES trees, on
-    the first of the two paths that led to them: a pair of similarity 0.8 shares
-    one of these with a chance of 1 - (1 - 0.8 ** 2) ** 6, above 0.997.
+    classes: cls, n, sketch. A pair of similarity 0.8 shares a first token and
+    one of the two next ones with a chance of 0.77 in a tree, so one of these
+    nodes in eight trees with 1 - 0.23 ** 8, above 0.99999.
     """
-    first = classes.select("cls", "n", F.posexplode(F.array(*[F.xxhash64(F.lit(r), _token(F.lit(r))) for r in range(TREES)])).alias("tree", "node"))
-    rows = _populous(first.withColumns({"parent_size": F.lit(None).cast("long"), "path": F.lit(0)}), "tree-1")
+    first = classes.select("cls", "n", F.explode(F.array(*[F.xxhash64(F.lit(r), _token(F.lit(r))) for r in range(TREES)])).alias("node"))
+    rows = _populous(first.withColumn("parent_size", F.lit(None).cast("long")), "tree-1")
     open_ = (F.col("size") > LEAF) & F.coalesce(F.col("size") <= DENSE * F.col("parent_size"), F.lit(True))
     done = rows.where(~open_)
     for level in range(2, LEVELS + 1):
@@ -135,13 +138,26 @@ def tree_nodes(classes: DataFrame) -> DataFrame:
         one = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(T)).cast("int")
         two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(-level)), F.lit(T - 1)).cast("int"), F.lit(T))
         paths = F.array(*[F.xxhash64("node", p, _token(p)) for p in (one, two)])
-        children = large.join(classes.select("cls", "sketch"), "cls").select("cls", "n", "tree", F.col("size").alias("parent_size"), F.posexplode(paths).alias("path", "node"))
+        children = large.join(classes.select("cls", "sketch"), "cls").select("cls", "n", F.col("size").alias("parent_size"), F.explode(paths).alias("node"))
         rows = _populous(children, f"tree-{level}")
         done = done.unionByName(rows.where(~open_))
     else:
         done = done.unionByName(rows.where(open_))
-    exact = F.col("size") > BLOCK
-    return done.where(~exact | ((F.col("tree") < EXACT_TREES) & (F.col("path") == 0))).select("node", "cls", "n", "size", "total", exact.alias("exact"))
+    return done.select("node", "cls", "n", "size", "total", (F.col("size") > BLOCK).alias("exact"))
+
+
+def merge_nodes(large: DataFrame) -> DataFrame:
+    """node, cls, n, size, total: nodes of all trees merged with the largest node that over half of their classes are in.
+
+    A dense group is a node in nearly every tree; so it is joined once. A node
+    whose classes lie in no common larger one stays as it is. Every two classes
+    that share a node still do.
+    """
+    hubs = large.groupBy("cls").agg(F.max(F.struct("size", "node")).alias("h"))
+    votes = large.join(hubs, "cls").groupBy("node", F.col("h.node").alias("hub")).agg(F.count("*").alias("votes"), F.first("size").alias("size"))
+    roots = components(votes.where("2 * votes > size").select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    merged = large.join(roots, large["node"] == roots["vertex"], "left").select(F.coalesce("root", "node").alias("node"), "cls", "n").distinct()
+    return _populous(cut(merged, "merged"), "merged-nodes")
 
 
 def _members(groups: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
@@ -220,6 +236,26 @@ def _linked(percent: int):
     return run
 
 
+def _crossed(percent: int):
+    """A tile (cls, e, far, a, second) to a spanning forest of the links between its first and second block, or within its only one; pairs of two that aren't far are left out."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        us, vs = [], []
+        cls, e = tile.column("cls").to_pylist(), tile.column("e").to_numpy()
+        far, second = tile.column("far").to_numpy(), tile.column("second").to_numpy()
+        other = second if second.any() and not second.all() else np.ones(len(cls), bool)
+        part, counted = np.arange(len(cls)), _shared(_arrays(tile.column("a")), other)
+        for i in np.flatnonzero(~second if second.any() else other):
+            for j in np.flatnonzero(other & (far | far[i]) & (part != part[i]) & (2 * (100 + percent) * counted(i) >= e[i] + e)):
+                if part[i] != part[j]:
+                    part[part == part[j]] = part[i]
+                    us.append(max(cls[i], cls[j]))
+                    vs.append(min(cls[i], cls[j]))
+        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+    return run
+
+
 def dense_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v: links that connect what is linked within each node. large: node, cls, n, size, total; sets: cls, set.
 
@@ -236,6 +272,13 @@ def dense_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     exact for any template. The order of members is the template's, the same
     for all of a node.
 
+    Where all children together have more pairs than the node itself (filled-in
+    forms: few values in each slot), branching only multiplies the work. Such a
+    node, if branching would also make a row for each PAIRS_A_ROW of its pairs, is
+    compared in full instead: blocks of up to TILE sets meet in tiles, in which
+    shared members are counted and only links of a spanning forest are given out.
+    A larger one branches once more first. Both ways are exact.
+
     A node's sets are dealt into blocks of about BLOCK sets and WIDE shingles,
     and its template is sent to each, so no task holds a node.
     """
@@ -252,19 +295,29 @@ def dense_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         template = sample.groupBy("node").agg(F.first("nb").alias("nb"), F.collect_list("s").alias("sets")).mapInArrow(_template, "node long, nb long, common binary, known binary, counts binary")
         blocks = template.select(dealt, "common", "known", "counts")
         apart = cut(state.select("node", "nb", "blk", "cls", "n", "s").groupBy("blk").cogroup(blocks.groupBy("blk")).applyInArrow(_differences(percent), DIFFERENCES), "dense-differences")
-        centre = apart.groupBy("node").agg(F.min(F.struct("e", "cls")).alias("c"), F.max("nb").alias("nb"))
-        told = apart.join(cut(centre, "dense-centres").select(dealt, F.col("c.e").alias("least"), F.col("c.cls").alias("centre")), "blk")
+        centre = cut(apart.groupBy("node").agg(F.min(F.struct("e", "cls")).alias("c"), F.max("nb").alias("nb"), F.count("*").alias("held"), F.sum(F.size("a")).alias("wide")), "dense-centres")
+        told = apart.join(centre.select(dealt, F.col("c.e").alias("least"), F.col("c.cls").alias("centre")), "blk")
         star = told.where("e + least <= 0 AND cls <> centre").select(F.greatest("cls", "centre").alias("u"), F.least("cls", "centre").alias("v"))
         far = F.col("e") + F.col("least") > 0
         partner = F.when(far, F.col("least")).otherwise(1 - F.col("least"))
         must = F.greatest(F.lit(1), F.ceil((F.col("e") + partner) / F.lit(2 * (100 + percent))))
         first = F.greatest(F.lit(0), F.size("a") - must + 1).cast("int")
         kids = told.select("node", "cls", far.alias("far"), F.size("a").alias("width"), F.explode(F.slice("a", 1, first)).alias("x")).select(F.xxhash64("node", "x").alias("child"), "node", "cls", "far", "width")
-        sizes = kids.groupBy("child").agg(F.count("*").alias("size"), F.sum("width").alias("total"), F.count_if("far").alias("n_far")).where("size > 1 AND n_far > 0")
-        kids = cut(kids.join(cut(sizes, "dense-sizes"), "child"), "dense-children")
+        sizes = cut(kids.groupBy("child").agg(F.count("*").alias("size"), F.sum("width").alias("total"), F.count_if("far").alias("n_far"), F.first("node").alias("of")).where("size > 1 AND n_far > 0"), "dense-sizes")
+        square = lambda c: F.pow(F.col(c).cast("double"), 2)
+        work = sizes.groupBy(F.col("of").alias("node")).agg(F.sum("size").alias("rows"), F.sum(square("size")).alias("pairs"))
+        whole = (F.col("pairs") > square("held")) & (square("held") <= F.col("rows") * PAIRS_A_ROW)
+        tiles = F.ceil(F.greatest(F.col("held") / F.lit(TILE), F.col("wide") / F.lit(WIDE))).cast("long").alias("tiles")
+        full = cut(work.join(centre, "node").where(whole).select("node", "nb", tiles, F.col("c.e").alias("least")), "dense-full")
+        at = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("tiles"))
+        laid = apart.join(full.select(dealt, "tiles", "least"), "blk").select("node", "cls", "e", (F.col("e") + F.col("least") > 0).alias("far"), "a", at.alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("to"))
+        laid = laid.select(F.xxhash64("node", F.least("at", "to"), F.greatest("at", "to")).alias("tile"), "cls", "e", "far", "a", (F.col("at") > F.col("to")).alias("second"))
+        crossed = laid.groupBy("tile").applyInArrow(_crossed(percent), "u binary, v binary")
+        kids = cut(kids.join(sizes.join(full.select(F.col("node").alias("of")), "of", "left_anti").drop("of"), "child"), "dense-children")
         leaf = (F.col("size") <= BLOCK) & ((F.col("total") <= 4 * WIDE) | (F.col("size") <= 32))
         inside = kids.where(leaf).join(apart.select("node", "cls", "e", "a"), ["node", "cls"]).groupBy("child").agg(F.collect_list(F.struct("cls", "e", "far", "a")).alias("members"))
-        found = found.unionByName(cut(star.unionByName(inside.select("members").mapInArrow(_linked(percent), "u binary, v binary")).distinct(), "dense-links"))
+        within = inside.select("members").mapInArrow(_linked(percent), "u binary, v binary")
+        found = found.unionByName(cut(star.unionByName(within).unionByName(crossed).distinct(), "dense-links"))
         large = kids.where(~leaf)
         if large.isEmpty():
             return found
@@ -349,12 +402,14 @@ def _unsettled(share: float):
     return run
 
 
-def _shared(sets: list[np.ndarray]):
-    """A function from a set's number to how many members it shares with each of ``sets``."""
+def _shared(sets: list[np.ndarray], among: np.ndarray | None = None):
+    """A function from a set's number to how many members it shares with each of ``sets``, or of those ``among`` is true for (0 elsewhere)."""
     n = np.array([len(x) for x in sets], np.int64)
     member = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)[1]
     order = np.argsort(member, kind="stable")
     owner = np.repeat(np.arange(len(n)), n)[order]
+    if among is not None:
+        order, owner = order[among[owner]], owner[among[owner]]
     start = np.searchsorted(member[order], np.arange(member.max(initial=-1) + 2))
     at = np.cumsum(n) - n
 
@@ -447,6 +502,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     sketches = classes.select("cls", "n_shingles", "sketch")
     nodes = cut(tree_nodes(classes.select("cls", F.col("n_shingles").alias("n"), "sketch")), "nodes")
     groups, large = nodes.where("not exact").select(F.col("node").alias("grp"), "cls").distinct(), nodes.where("exact").drop("exact")
+    large = large if large.isEmpty() else merge_nodes(large)
     likely = cut(_members(groups, sketches).select("members").mapInArrow(_likely(share), "u binary, v binary").distinct(), "likely")
     ends = likely.select(F.col("u").alias("cls")).unionByName(likely.select(F.col("v").alias("cls"))).distinct()
     wanted = ends.unionByName(large.select("cls")).distinct()
