@@ -5,7 +5,9 @@ of keys, alike in size whatever the ids, urls or payloads, and the same input
 gives the same files. A shard is written as a stream; it rolls to its next file
 when the compressed size is reached. Headers, record ids and digests are made
 anew from the rows. Files are written below temporary names and moved to their
-final ones; the manifest, written last by Spark, says which files count.
+final ones, which end in the digest of their content: no attempt of a task ever
+replaces or removes a final file, and equal ones are stored once. The manifest,
+written last by Spark from the attempts that it commits, says which files count.
 
 Which records are revisits is decided on digests alone, before any payload is
 moved; the decisions travel to the shards as rows that sort just before the
@@ -88,12 +90,20 @@ class _Files:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            final = f"{self.path}/{self.name}"
-            if self.fs.get_file_info(final).type != pyarrow.fs.FileType.NotFound:  # of an attempt whose task was lost; its content is the same
-                self.fs.delete_file(final)
-            self.fs.move(self.temporary, final)
-            self.done.append((self.name, self.shard, self.records, self.bytes, self.sha.hexdigest()))
             self.out = None
+            digest = self.sha.hexdigest()
+            name = f"{self.name.removesuffix('.warc.gz')}-{digest[:16]}.warc.gz"
+            if not self._there(name):
+                try:
+                    self.fs.move(self.temporary, f"{self.path}/{name}")
+                except OSError:  # another attempt may have been first
+                    if not self._there(name):
+                        raise
+            self.done.append((name, self.shard, self.records, self.bytes, digest))
+
+    def _there(self, name: str) -> bool:
+        """Another attempt has stored this content; files appear by a move, so it is whole."""
+        return self.fs.get_file_info(f"{self.path}/{name}").type != pyarrow.fs.FileType.NotFound
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, least: int = 100, shard_bytes: int = 32 << 20, roll_bytes: int = 16 << 20, level: int = 4, date: str = "2000-01-01T00:00:00Z") -> str:
@@ -105,7 +115,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 100, sh
     ``urn:page:`` name and are read back as they were; line breaks in a url are
     written, and read back, as %0D and %0A. Rows without a page_id are written
     (dealt by their payload) and, if equal to a numbered page, revisit it. A task that
-    is tried again writes the same files over. An empty table gives an empty manifest. Other
+    is tried again finds its files there, or adds others that the manifest does not
+    name; such count for nothing. An empty table gives an empty manifest. Other
     columns of pages are not read. shard_bytes counts payloads, roll_bytes
     compressed records; a record is never cut.
     """

@@ -48,12 +48,29 @@ def test_same_input_gives_same_files(spark, rng, tmp_path):
     assert names[0] == names[1] and len(names[0]) > 5
 
 
-def test_a_second_attempt_writes_over_the_first(spark, tmp_path):
-    for data in (b"of an attempt that was lost", b"of the next one"):
-        files = warc._Files(f"file://{tmp_path}", 4, 1000, "2000-01-01T00:00:00Z")
+def test_other_attempts_never_touch_a_file_of_the_manifest(spark, rng, tmp_path):
+    """A second attempt that ends, one that dies before its move and one that dies while moving; with the same and with other content."""
+    rows, df = pages(spark, rng, 30)
+    folder = warc.write_warc(df, f"file://{tmp_path}/a", shard_bytes=300_000, roll_bytes=4_000)
+    before = {f.name: f.read_bytes() for f in (tmp_path / "a").glob("*.warc.gz")}
+
+    def attempt(data, dies=None):
+        files = warc._Files(folder, 4, 1000, "2000-01-01T00:00:00Z")
         files.write(0, data)
-        files.close()
-    assert gzip.open(tmp_path / "part-000000-00000.warc.gz").read().endswith(b"of the next one")
+        if dies == "moving":
+            files.fs = type("Broken", (), {"get_file_info": files.fs.get_file_info, "move": staticmethod(lambda a, b: (_ for _ in ()).throw(OSError("lost")))})()
+        if dies != "writing":
+            files.close()
+        return files.done
+
+    names = [attempt(data)[0][0] for data in (b"one", b"one", b"two")]
+    assert names[0] == names[1] != names[2] and not set(names) & set(before)
+    assert attempt(b"one", "moving")[0][0] == names[0]  # it is there already
+    with pytest.raises(OSError):
+        attempt(b"three", "moving")
+    attempt(b"four", "writing")
+    assert {n: (tmp_path / "a" / n).read_bytes() for n in before} == before
+    assert warc.read_warc(spark, folder).count() == len(rows)
 
 
 def test_damage_is_noticed_and_empty_is_fine(spark, rng, tmp_path):
