@@ -6,9 +6,10 @@ contexts (two, three and five bytes, the word so far). A predictor is a table
 of stretched probabilities by hashed context and node of the code, made from
 counts over the training fold. The predictions of a bit are mixed by the
 weights of a gate: how often the longer contexts were seen. Each gate's weights
-are fitted on a part of the training fold that the tables leave out; each text
-then refines its own copy, by a gradient step after every block of its bytes,
-so a block is coded with weights that only its past has shaped.
+are fitted on the whole training fold, each half of its texts with tables of
+the other half; the tables that score are of all its texts. Each text then
+refines its own copy, by a gradient step after every block of its bytes, so a
+block is coded with weights that only its past has shaped.
 
 After the mix comes a second one, over words: a word with the blank after it
 also has a probability from the corpus's token counts. The share of that
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,19 @@ OWN = 55
 PARTS = 64
 FAN = 64
 CHUNK = 1 << 19
-#: Bytes of training text, about, that weights are fitted on, and the longest text among them.
+#: Bytes whose slots are worked out at once.
+STRETCH = 1 << 15
+#: A slot's first cells, the commonest nodes, are fetched at once.
+LINE = 16
+#: Bytes of training text, about, whose weights the fit on all of it starts from, and the longest text among them.
 FIT_BYTES = 1 << 18
 LONGEST_FIT = 1 << 15
+#: The fit ends with the Newton step that promises less than this share of the cost.
+LITTLE = 1e-3
+#: Bytes of text whose equal contexts are fitted as one, and bits of their numbers.
+ALIKE_BITS = 21
+#: Fractions of a unit that sums of the fit are counted in, so that they are exact in any order.
+FINE = float(1 << 18)
 #: Where the classes of how often a context was seen begin; a gate is a class of five bytes and one of the word.
 SEEN = (1, 4, 32)
 GATES = (len(SEEN) + 1) ** 2
@@ -79,7 +91,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-_UP, _DOWN = _powers(_P, CHUNK + (1 << 12)), _powers(_INV, CHUNK + (1 << 12))
+_UP, _DOWN = _powers(_P, STRETCH), _powers(_INV, STRETCH)
 
 
 @dataclass
@@ -129,18 +141,23 @@ def _laid_out(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 def _slots(data: np.ndarray) -> list[np.ndarray]:
     """For each byte from the PAD-th on: its slot in each table."""
-    b = data.astype(np.uint32)
-    two = (b[PAD - 2 : -2] << np.uint32(8)) | b[PAD - 1 : -1]
-    three = two | (b[PAD - 3 : -3] << np.uint32(16))
-    five = (three | (b[PAD - 4 : -4] << np.uint32(24))) * np.uint32(0x85EBCA6B) ^ b[PAD - 5 : -5] * np.uint32(0xC2B2AE35)
-    word = np.zeros(len(data), np.uint64)
-    for a in range(0, len(data), CHUNK):
-        part = data[a : a + CHUNK]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _DOWN[: len(part)])])
-        last = np.maximum.accumulate(np.where(_SPACE[part], np.arange(1, len(part) + 1, dtype=np.int32), np.int32(0)))
-        word[a : a + CHUNK] = (sums[1:] - sums[last]) * _UP[: len(part)]
-    word = (word[PAD - 1 : -1] >> np.uint64(32)).astype(np.uint32)
-    return [((x * _P32) >> np.uint32(32 - bits)).astype(np.int32) for x, bits in zip((two, three, five, word), SLOT_BITS, strict=True)]
+    out = [np.empty(len(data) - PAD, np.int32) for _ in SLOT_BITS]
+    so_far = 0  # the hash of the word that a stretch begins in
+    for a in range(0, len(data) - PAD, STRETCH):
+        b = data[a : a + STRETCH + PAD - 1].astype(np.uint32) if a + STRETCH + PAD < len(data) else data[a:-1].astype(np.uint32)
+        two = (b[PAD - 2 : -1] << np.uint32(8)) | b[PAD - 1 :]
+        three = two | (b[PAD - 3 : -2] << np.uint32(16))
+        five = (three | (b[PAD - 4 : -3] << np.uint32(24))) * np.uint32(0x85EBCA6B) ^ b[: 1 - PAD] * np.uint32(0xC2B2AE35)
+        part = data[a + PAD - 1 : a + PAD - 1 + len(two)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(b[PAD - 1 :].astype(np.uint64) * _DOWN[: len(part)] + _DOWN[: len(part)], out=sums[1:])
+        sums[1:] += np.uint64(so_far * int(_P) % 2**64)
+        last = np.maximum.accumulate(np.where(_SPACE.take(part, mode="clip"), np.arange(1, len(part) + 1), 0))
+        word = (sums[1:] - sums.take(last, mode="clip")) * _UP[: len(part)]
+        so_far = int(word[-1])
+        for slots, x, bits in zip(out, (two, three, five, (word >> np.uint64(32)).astype(np.uint32)), SLOT_BITS, strict=True):
+            slots[a : a + len(part)] = (x * _P32) >> np.uint32(32 - bits)
+    return out
 
 
 def _coded(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -175,20 +192,21 @@ def _summed(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 COUNTS = "task long, table int, part int, cells binary"
 
 
-def context_counts(docs: DataFrame, fit: Column, text: str = "text", most: int = 1_000_000) -> DataFrame:
+def context_counts(docs: DataFrame, other: Column, text: str = "text", most: int = 1_000_000) -> DataFrame:
     """task, table, part, cells: how often each byte follows each hashed context, as packed cells and counts; and, as table -1, how often each byte and (as 256) word occurs.
 
-    Texts of ``fit`` count in table -1 only. A task sums up to ``most`` codes
-    of a table before it sends their cells on, in PARTS pieces.
+    Texts of the ``other`` half count in tables of their own, which follow those
+    of the first. A task sums up to ``most`` codes of a table before it sends
+    their cells on, in PARTS pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        waiting: list[list[np.ndarray]] = [[] for _ in SLOT_BITS]
+        waiting: list[list[np.ndarray]] = [[] for _ in SLOT_BITS * 2]
         none = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        held, bytes_seen = [none for _ in SLOT_BITS], np.zeros(257, np.int64)
+        held, bytes_seen = [none for _ in SLOT_BITS * 2], np.zeros(257, np.int64)
 
         def merge(k: int) -> None:
             cells, counts = np.unique(np.concatenate(waiting[k]), return_counts=True)
@@ -201,36 +219,38 @@ def context_counts(docs: DataFrame, fit: Column, text: str = "text", most: int =
 
         def out(k: int) -> pa.RecordBatch:
             (cells, counts), held[k] = held[k], none
-            cuts = np.searchsorted(cells, np.arange(PARTS + 1, dtype=np.int64) << (SLOT_BITS[k] + 8 - 6))
+            cuts = np.searchsorted(cells, np.arange(PARTS + 1, dtype=np.int64) << (SLOT_BITS[k % len(SLOT_BITS)] + 8 - 6))
             return rows(k, list(range(PARTS)), [_pack(cells[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
 
         for batch in batches:
             raw, starts, ends = flat(batch.column(0))
-            fitted = batch.column(1).to_numpy(zero_copy_only=False)
+            others = batch.column(1).to_numpy(zero_copy_only=False)
             for i, j in slices(starts, ends, CHUNK):
                 data, first, last = _laid_out(raw, starts[i:j], ends[i:j])
                 on = _coded(data, first, last)
                 bytes_seen[:256] += np.bincount(data[PAD:][on], minlength=256)
                 bytes_seen[256] += np.count_nonzero(~_SPACE[data[PAD:][on]] & _SPACE[data[PAD - 1 : -1][on]])
                 bytes_seen[256] -= np.count_nonzero(_SPACE[data[last - 2]])  # an end after a blank begins no word
-                kept = ~fitted[i:j]
-                if not kept.all():
-                    on &= _coded(data, first[kept], last[kept])
-                target = data[PAD:][on].astype(np.uint32)
-                for k, s in enumerate(_slots(data)):
-                    waiting[k].append((s[on].astype(np.uint32) << np.uint32(8)) | target)
-                    if sum(map(len, waiting[k])) > most:
-                        merge(k)
-                        if len(held[k][0]) > most:
-                            yield out(k)
-        for k in range(len(SLOT_BITS)):
+                codes = [(s.view(np.uint32) << np.uint32(8)) | data[PAD:] for s in _slots(data)]
+                of = others[i:j]
+                for half, mine in enumerate((~of, of)):
+                    if not mine.any():
+                        continue
+                    part = on if mine.all() else _coded(data, first[mine], last[mine])
+                    for k, c in enumerate(codes, half * len(SLOT_BITS)):
+                        waiting[k].append(c[part])
+                        if sum(map(len, waiting[k])) > most:
+                            merge(k)
+                            if len(held[k][0]) > most:
+                                yield out(k)
+        for k in range(2 * len(SLOT_BITS)):
             if waiting[k]:
                 merge(k)
             if len(held[k][0]):
                 yield out(k)
         yield rows(-1, [0], [_pack(np.arange(257), bytes_seen)])
 
-    counts = cut(docs.select(text, fit.alias("fit")).where(F.col(text).isNotNull()).mapInArrow(run, COUNTS), "lm-counts")
+    counts = cut(docs.select(text, other.alias("other")).where(F.col(text).isNotNull()).mapInArrow(run, COUNTS), "lm-counts")
     while (counts.agg(F.max("task")).first()[0] or 0) >= FAN:  # at most about FAN pieces meet in a group
         counts = cut(counts.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("task", "table", "part").applyInArrow(_merged, COUNTS), "lm-counts")
     return counts
@@ -251,28 +271,40 @@ def byte_counts(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def stretch_tables(counts: DataFrame, code: Code) -> list[list[bytes]]:
-    """Tables of 64 stretched predictions a slot, as scaled bytes, in compressed pieces; their size is fixed by SLOT_BITS (40 MB unpacked)."""
+def stretch_tables(counts: DataFrame, code: Code) -> tuple[list[list[bytes]], list[list[bytes]]]:
+    """Tables of 64 stretched predictions a slot, as scaled bytes, in compressed pieces; their size is fixed by SLOT_BITS (40 MB unpacked).
+
+    Those of all texts, and those of each half.
+    """
+    tables = len(SLOT_BITS)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         k, part = key[0].as_py(), key[1].as_py()
         slots = 1 << (SLOT_BITS[k] - 6)
-        pairs = [_unpack(blob) for blob in table.column("cells").to_pylist()]
-        cells, sums = _summed(np.concatenate([c for c, _ in pairs]), np.concatenate([n for _, n in pairs]))
-        slot, byte = np.divmod(cells - (part * slots << 8), 256)
-        n, size = np.zeros((2, slots << CELL_BITS)), slots << CELL_BITS
-        for d in range(len(code.sign)):
-            for bit, s in enumerate((-1, 1)):
-                on = code.sign[d][byte] == s
-                n[bit] += np.bincount((slot[on] << CELL_BITS) + code.cell[d][byte[on]], sums[on], size)
-        out = np.clip(np.rint(np.log((n[1] + DELTA) / (n[0] + DELTA)) * SCALE), -127, 127).astype(np.int8)
-        out[:: 1 << CELL_BITS] = np.searchsorted(SEEN, np.bincount(slot, sums, slots), side="right")
-        return pa.table({"table": pa.array([k], pa.int32()), "part": pa.array([part], pa.int32()), "piece": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
-
-    pieces = [[b""] * PARTS for _ in SLOT_BITS]
-    for row in counts.where("table >= 0").groupBy("table", "part").applyInArrow(run, "table int, part int, piece binary").toLocalIterator():
+        size = slots << CELL_BITS
+        ns, seen = np.zeros((2, 2, size)), np.zeros((2, slots))
+        for half in (0, 1):
+            pairs = [_unpack(blob) for of, blob in zip(table.column("table").to_pylist(), table.column("cells").to_pylist(), strict=True) if of // tables == half]
+            if not pairs:
+                continue
+            cells, sums = _summed(np.concatenate([c for c, _ in pairs]), np.concatenate([n for _, n in pairs]))
+            slot, byte = np.divmod(cells - (part * slots << 8), 256)
+            seen[half] = np.bincount(slot, sums, slots)
+            for d in range(len(code.sign)):
+                for bit, s in enumerate((-1, 1)):
+                    on = code.sign[d][byte] == s
+                    ns[half, bit] += np.bincount((slot[on] << CELL_BITS) + code.cell[d][byte[on]], sums[on], size)
+        pieces = []
+        for n, times in ((ns.sum(0), seen.sum(0)), *zip(ns, seen, strict=True)):
+            out = np.clip(np.rint(np.log((n[1] + DELTA) / (n[0] + DELTA)) * SCALE), -127, 127).astype(np.int8)
+            out[:: 1 << CELL_BITS] = np.searchsorted(SEEN, times, side="right")
+            pieces.append(zlib.compress(out.tobytes(), 1))
+        return pa.table({"table": pa.array([k, k + tables, k + 2 * tables], pa.int32()), "part": pa.array([part] * 3, pa.int32()), "piece": pa.array(pieces, pa.binary())})
+
+    pieces = [[b""] * PARTS for _ in range(3 * tables)]
+    for row in counts.where("table >= 0").groupBy((F.col("table") % tables).alias("k"), "part").applyInArrow(run, "table int, part int, piece binary").toLocalIterator():
         pieces[row["table"]][row["part"]] = bytes(row["piece"])
-    return pieces
+    return pieces[:tables], pieces[tables:]
 
 
 _unpacked: dict[int, list[np.ndarray]] = {}
@@ -282,7 +314,7 @@ def unpack(key: int, pieces: list[list[bytes]]) -> list[np.ndarray]:
     """The tables, unpacked once a worker; only the latest model is held."""
     if key not in _unpacked:
         _unpacked.clear()
-        tables = [np.zeros(1 << (bits + CELL_BITS), np.int8) for bits in SLOT_BITS]
+        tables = [np.zeros(1 << (bits + CELL_BITS), np.int8) for bits in SLOT_BITS * (len(pieces) // len(SLOT_BITS))]
         for table, parts in zip(tables, pieces, strict=True):
             size = len(table) // PARTS
             for k, piece in enumerate(parts):
@@ -318,24 +350,36 @@ def _runs(total: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def _lines(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The first LINE cells of some rows, one after another."""
+    return table.view(np.complex128).take(rows >> 4, mode="clip").view(np.int8)
+
+
 def _code_block(live, n, first, done, target, gate, base, code, tables, weights, bits, nats, refine, seen) -> None:
     """One block of each of some texts: its costs and, unless it is their last, the gradient step that follows it."""
     at = np.repeat(first[live] + done - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    byte = target[at]
-    order = np.argsort(255 - code.length[byte], kind="stable")  # longest codes first: what is left at a depth is a slice
-    at, byte, key = at[order], byte[order], np.repeat(np.arange(len(live)), n)[order] * GATES
-    key += gate[at]
-    own = weights[live].reshape(-1, len(tables))
-    w, rows = [own[:, k].take(key) for k in range(len(tables))], [x[at].astype(np.int64) for x in base]
+    short = 255 - code.length.take(target.take(at, mode="clip"), mode="clip")
+    order = np.argsort(short, kind="stable")  # longest codes first: what is left at a depth is a slice
+    left = np.searchsorted(short[order], 255 - np.arange(len(code.sign) + 1))  # lengths above 0, 1, ...
+    at, key = at.take(order, mode="clip"), np.repeat(np.arange(len(live)) * GATES, n).take(order, mode="clip")
+    byte = target.take(at, mode="clip").astype(np.int64)
+    key += gate.take(at, mode="clip")
+    own = np.ascontiguousarray(weights[live].reshape(-1, len(tables)).T)
+    w, rows = [x.take(key, mode="clip") for x in own], [x.take(at, mode="clip").astype(np.int64) for x in base]
+    lines = [_lines(t, r) for t, r in zip(tables, rows, strict=True)]
+    near, in_line = np.arange(0, len(at) * LINE, LINE), code.cell.max(1) < LINE
     where = np.empty_like(at)
     cost, steps = np.zeros(len(at), np.float32), [np.zeros(len(at), np.float32) for _ in tables] if refine else []
-    left = np.cumsum(np.bincount(code.length[byte], minlength=len(code.sign) + 1)[::-1])[::-1]
     for d in range(len(code.sign)):
-        m = int(left[d + 1])
+        m = int(left[d])
         if not m:
             break
-        cell, sign = code.cell[d].take(byte[:m]), code.sign[d].take(byte[:m])
-        x = [table.take(np.add(r[:m], cell, out=where[:m]), mode="clip").astype(np.float32) for table, r in zip(tables, rows, strict=True)]
+        cell, sign = code.cell[d].take(byte[:m], mode="clip"), code.sign[d].take(byte[:m], mode="clip")
+        if in_line[d]:
+            cell += near[:m]
+            x = [line.take(cell, mode="clip").astype(np.float32) for line in lines]
+        else:
+            x = [table.take(np.add(r[:m], cell, out=where[:m]), mode="clip").astype(np.float32) for table, r in zip(tables, rows, strict=True)]
         if seen is not None:
             seen.append((np.stack(x, 1), sign, key[:m] % GATES))
         dot = x[0] * w[0][:m]
@@ -354,8 +398,9 @@ def _code_block(live, n, first, done, target, gate, base, code, tables, weights,
                 steps[k][:m] += v
     nats[at] = cost
     if refine:
-        sums = np.stack([np.bincount(key, s, len(own)) for s in steps], 1).reshape(len(live), GATES, -1)
-        bits[live] += np.bincount(key, code.length[byte], len(own)).reshape(len(live), GATES)
+        size = len(live) * GATES
+        sums = np.stack([np.bincount(key, s, size) for s in steps], 1).reshape(len(live), GATES, -1)
+        bits[live] += np.bincount(key, code.length.take(byte, mode="clip"), size).reshape(len(live), GATES)
         weights[live] += (sums / (SCALE**2 * (STIFF + GAIN * bits[live]))[:, :, None]).astype(np.float32)
 
 
@@ -383,6 +428,92 @@ def fit_weights(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: Cod
     return even
 
 
+def _alike(slots: list[np.ndarray], byte: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each group of positions with equal slots, byte and kind (below 4), and how many it stands for, by the slots of five bytes; a group may come in parts. At most 2 ** ALIKE_BITS positions."""
+    known, order = np.empty(len(byte), np.uint64), np.empty(len(byte), np.uint64)
+    u = np.uint64
+    for a in range(0, len(byte), STRETCH):
+        two, three, five, word = (x[a : a + STRETCH].astype(u) for x in slots)
+        rest = five | word << u(18) | byte[a : a + STRETCH].astype(u) << u(36) | kind[a : a + STRETCH].astype(u) << u(44) | two << u(46)
+        known[a : a + STRETCH] = rest
+        mixed = ((rest * _P) >> u(64 - 25)) + (three << u(9))  # where all else is equal, three slots differ in these 25 bits
+        mixed &= u((1 << 25) - 1)
+        order[a : a + STRETCH] = five << u(46) | mixed << u(ALIKE_BITS) | np.arange(a, a + len(rest), dtype=u)
+    order.sort()
+    at = (order & u((1 << ALIKE_BITS) - 1)).view(np.int64)
+    order >>= u(ALIKE_BITS)
+    known = known.take(at, mode="clip")
+    first = np.flatnonzero(np.concatenate([[True], (order[1:] != order[:-1]) | (known[1:] != known[:-1])]))
+    return at.take(first, mode="clip"), np.diff(first, append=len(at))
+
+
+SUMS = 2 + len(SLOT_BITS) + len(SLOT_BITS) ** 2
+
+
+def _parts(begin: int, ends: list[int]) -> Iterator[tuple[int, list[int]]]:
+    """Stretches of what begins and ends, at each depth, there."""
+    for a in range(begin, ends[0], STRETCH // 2):
+        b = min(a + STRETCH // 2, ends[0])
+        yield a, [min(max(e, a), b) for e in ends]
+
+
+def newton_sums(data: np.ndarray, first: np.ndarray, last: np.ndarray, other: np.ndarray, code: Code, tables: list[np.ndarray], start: np.ndarray) -> np.ndarray:
+    """By gate: cost, bits, gradient and curvature of the weights ``start`` over all bits of some texts, in whole numbers.
+
+    tables: of each half; a text's predictions are those of the half it is not of (``other``: of the second).
+    Predictions are in bytes as in the tables, all else in units of 1 / FINE, so sums do not depend on their order.
+    """
+    out = np.zeros((GATES, SUMS), np.int64)
+    k, weights = len(SLOT_BITS), start.astype(np.float32) / np.float32(SCALE)
+    slots, kind = _slots(data), np.full(len(data) - PAD, 2, np.int8)  # the half that a byte is of, 2 where none is coded
+    for of, where in ((0, ~other), (1, other)):
+        kind[_coded(data, first[where], last[where])] = of
+    in_line = code.cell.max(1) < LINE
+    for a in range(0, len(kind), 1 << ALIKE_BITS):
+        b = a + (1 << ALIKE_BITS)
+        at, times = _alike([s[a:b] for s in slots], data[PAD:][a:b], kind[a:b])
+        at += a
+        byte, half = data[PAD:].take(at, mode="clip").astype(np.int64), kind.take(at, mode="clip").astype(np.int64)
+        rows = [s.take(at, mode="clip").astype(np.int64) << CELL_BITS for s in slots]
+        seen = [np.where(half == 0, tables[k + i].take(rows[i], mode="clip"), tables[i].take(rows[i], mode="clip")) for i in (k - 2, k - 1)]
+        group = (half * GATES + seen[0] * np.int64(len(SEEN) + 1) + seen[1]) * 64 + (63 - code.length.take(byte, mode="clip").astype(np.int64))
+        order = np.argsort(group.astype(np.uint16), kind="stable")  # by half and gate, longest codes first
+        byte, times, rows, group = (byte.take(order), times.take(order).astype(float), [r.take(order) for r in rows], group.take(order))
+        for h, g in np.ndindex(2, GATES):
+            begin, *ends = np.searchsorted(group, (h * GATES + g) * 64 + np.array([0, *(63 - np.arange(len(code.sign)))])).tolist()
+            mine = tables[k * (1 - h) : k * (2 - h)]
+            for begin, ends in _parts(begin, ends):
+                lines = [_lines(t, r[begin : ends[0]]) for t, r in zip(mine, rows, strict=True)]
+                near = np.arange(0, (ends[0] - begin) * LINE, LINE)
+                for d, end in enumerate(ends):
+                    if end <= begin:
+                        break
+                    n, own = times[begin:end], byte[begin:end]
+                    cell, sign = code.cell[d].take(own, mode="clip"), code.sign[d].take(own, mode="clip")
+                    x = np.empty((k, end - begin))
+                    if in_line[d]:
+                        cell += near[: end - begin]
+                        for i, line in enumerate(lines):
+                            x[i] = line.take(cell, mode="clip")
+                    else:
+                        for i, (table, r) in enumerate(zip(mine, rows, strict=True)):
+                            x[i] = table.take(r[begin:end] + cell, mode="clip")
+                    e = x[0] * weights[g, 0]
+                    for i in range(1, k):
+                        e += x[i] * weights[g, i]
+                    e = e.astype(np.float32)
+                    e *= -sign
+                    e = np.exp(np.clip(e, -14, 14, out=e), out=e)
+                    more = e + np.float32(1)
+                    e /= more
+                    out[g, 0] += int(np.rint(np.log(more) * FINE) @ n)
+                    out[g, 1] += int(n.sum())
+                    out[g, 2 : 2 + k] += (x @ (np.rint(e * sign * FINE) * n)).astype(np.int64)
+                    e *= 1 - e
+                    out[g, 2 + k :] += ((x * (np.rint(e * FINE) * n)) @ x.T).astype(np.int64).ravel()
+    return out
+
+
 def mixed_nats(data: np.ndarray, first: np.ndarray, last: np.ndarray, nats: np.ndarray, counts: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Cost of each text once its words are mixed with what their counts say. counts: of each word, in order; seen: of bytes and words, in training.
 
@@ -423,28 +554,74 @@ class Model:
 
 
 def learn(docs: DataFrame, text: str = "text") -> Model:
-    """A model of all texts of ``docs``. Mixing weights are fitted in one task on FIT_BYTES of them, or a sixteenth if that is less, which the tables leave out."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    share = min(1 / 16, FIT_BYTES / max(total, 1))
-    fit = F.coalesce((F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.octet_length(text) <= LONGEST_FIT), F.lit(False))
-    counts = context_counts(docs, fit, text)
+    """A model of all texts of ``docs``. Mixing weights maximise the likelihood of all of them, each predicted from the half of the texts that it is not of."""
+    spark = docs.sparkSession
+    other = F.coalesce(F.pmod(F.xxhash64(text, F.lit(3)), F.lit(2)) == 1, F.lit(False))
+    counts = context_counts(docs, other, text)
     seen = byte_counts(counts)
     code = code_of(seen[:256])
-    pieces = stretch_tables(counts, code)
-    shared = docs.sparkSession.sparkContext.broadcast((code, pieces))
+    pieces, halves = stretch_tables(counts, code)
+    shared = spark.sparkContext.broadcast((code, halves))
+    return Model(code, pieces, fit_all(docs, other, shared, _first_weights(docs, other, shared, text), text), seen)
+
+
+def _first_weights(docs: DataFrame, other: Column, shared: Broadcast, text: str) -> np.ndarray:
+    """Weights that suit about FIT_BYTES of the first half, fitted in one task: where the fit on all texts starts, so that it takes few steps."""
+    total = docs.where(~other).agg(F.sum(F.octet_length(text))).first()[0] or 0
+    share = min(1.0, FIT_BYTES / max(total, 1))
+    some = docs.where(~other & (F.pmod(F.xxhash64(text, F.lit(4)), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.octet_length(text) <= LONGEST_FIT))
     key = -1 - shared._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, pieces = shared.value
+        code, halves = shared.value
         texts = sorted(t for batch in batches for t in batch.column(0).to_pylist())
-        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        w = fit_weights(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends, code, unpack(key, pieces)) if texts else np.full((GATES, len(SLOT_BITS)), 1.2 / len(SLOT_BITS))
-        yield pa.record_batch({"w": pa.array(w.ravel())})
-
-    some = docs.where(fit).select(F.col(text).cast("binary").alias("text")).repartition(1)
-    w = [r["w"] for r in some.mapInArrow(run, "w double").collect()]
-    start = np.array(w).reshape(GATES, -1) if w else np.full((GATES, len(SLOT_BITS)), 1.2 / len(SLOT_BITS))
-    return Model(code, pieces, start, seen)
+        if texts:
+            ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+            w = fit_weights(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends, code, unpack(key, halves)[len(SLOT_BITS) :])
+            yield pa.record_batch({"w": pa.array(w.ravel())})
+
+    w = [r["w"] for r in some.select(F.col(text).cast("binary").alias("text")).repartition(1).mapInArrow(run, "w double").collect()]
+    return np.array(w).reshape(GATES, -1) if w else np.full((GATES, len(SLOT_BITS)), 1.2 / len(SLOT_BITS))
+
+
+def fit_all(docs: DataFrame, other: Column, shared: Broadcast, start: np.ndarray, text: str = "text") -> np.ndarray:
+    """Weights by gate and table that all texts of ``docs`` are likeliest with, by Newton steps from ``start``, each of sums over all texts; a ridge towards an even mix.
+
+    Steps go on until one promises less than LITTLE of the cost; one that raised the cost is halved.
+    """
+    key, k = -1 - shared._jbroadcast.id(), len(SLOT_BITS)
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            code, halves = shared.value
+            out = np.zeros((GATES, SUMS), np.int64)
+            for batch in batches:
+                raw, starts, ends = flat(batch.column(0))
+                others = batch.column(1).to_numpy(zero_copy_only=False)
+                for i, j in slices(starts, ends, 1 << ALIKE_BITS):
+                    out += newton_sums(*_laid_out(raw, starts[i:j], ends[i:j]), others[i:j], code, unpack(key, halves), w)
+            yield pa.record_batch({"i": pa.array(np.arange(out.size), pa.int32()), "v": pa.array(out.ravel())})
+
+        rows = docs.select(text, other.alias("other")).where(F.col(text).isNotNull()).mapInArrow(run, "i int, v long")
+        out = np.zeros(GATES * SUMS)
+        for r in rows.groupBy("i").agg(F.sum(F.col("v").cast("decimal(20,0)")).alias("v")).collect():
+            out[r["i"]] = float(r["v"])
+        return out.reshape(GATES, SUMS)
+
+    even, ridge = np.full((GATES, k), 1.2 / k), 20.0
+    w, before, cost = start, start, np.inf
+    for _ in range(40):
+        s = sums(w) / FINE
+        now = s[:, 0].sum() + ridge / 2 * ((w - even) ** 2).sum()
+        if now > cost:
+            w = (w + before) / 2
+            continue
+        slope = s[:, 2 : 2 + k] / SCALE - ridge * (w - even)
+        step = np.linalg.solve(s[:, 2 + k :].reshape(GATES, k, k) / SCALE**2 + ridge * np.eye(k), slope[:, :, None])[:, :, 0]
+        before, cost, w = w, now, w + step
+        if (slope * step).sum() / 2 <= LITTLE * now:
+            break
+    return w
 
 
 def _dealt(docs: DataFrame, keep: str, train: Column, text: str, block_bytes: int) -> DataFrame:

@@ -177,3 +177,57 @@ def test_all_bytes_are_predicted(spark, rng):
         df = spark.createDataFrame([(i, line()) for i in range(60)], "doc_id long, text string")
         held = [r for r in lm.score_texts(df, F.col("doc_id") >= 20).collect() if not r["train"]]
         assert len(held) == 20 and max(r["bits_per_byte"] for r in held) < 1.5
+
+
+def brute_sums(texts, others, code, tables, start):
+    """Cost, gradient and curvature by gate, bit by bit."""
+    k = len(lm.SLOT_BITS)
+    cost, slope, curve = 0.0, np.zeros((lm.GATES, k)), np.zeros((lm.GATES, k, k))
+    for t, other in zip(texts, others, strict=True):
+        seen = []
+        lm.byte_nats(*laid_out([t]), code, tables[:k] if other else tables[k:], start, seen)
+        for x, sign, gate in seen:
+            for v, s, g in zip(x.astype(float), sign, gate, strict=True):
+                wrong = 1 / (1 + math.exp(s * float(start[g] @ v) / lm.SCALE))
+                cost, slope[g], curve[g] = cost - math.log(1 - wrong), slope[g] + wrong * s * v, curve[g] + wrong * (1 - wrong) * np.outer(v, v)
+    return cost, slope, curve
+
+
+def test_newton_sums_against_brute_force(rng, prose, monkeypatch):
+    """Over all bits of both halves; the same whole numbers in any order and in parts."""
+    code, tables, start = made_model(rng)
+    tables = tables + made_model(rng)[1]
+    texts = [b"", b"x", b"The cat  ", prose(60).encode(), b"ab" * 400, prose(20).encode(), "é Übung".encode()]
+    others = np.array([True, False, False, True, False, False, True])
+    got = lm.newton_sums(*laid_out(texts), others, code, tables, start)
+    cost, slope, curve = brute_sums(texts, others, code, tables, start)
+    assert got[:, 0].sum() / lm.FINE == pytest.approx(cost, rel=1e-4) and got[:, 1].sum() == sum(int(code.length[b]) for t in texts for b in [*t.lower(), lm.END])
+    assert got[:, 2:6] / lm.FINE == pytest.approx(slope, rel=1e-3, abs=0.2) and (got[:, 6:] / lm.FINE).reshape(curve.shape) == pytest.approx(curve, rel=1e-3, abs=2)
+    assert sum(int(n) for n in lm.newton_sums(*laid_out(texts[::-1]), others[::-1], code, tables, start).ravel() - got.ravel()) == 0
+    monkeypatch.setattr(lm, "ALIKE_BITS", 6)
+    assert (lm.newton_sums(*laid_out(texts), others, code, tables, start) == got).all()
+
+
+def test_words_go_on_over_stretches(prose, monkeypatch):
+    data, _, _ = laid_out([prose(40).encode(), b"w" * 300, b"", prose(3).encode()])
+    want = lm._slots(data)
+    for size in (7, 64):
+        monkeypatch.setattr(lm, "STRETCH", size)
+        assert all((a == b).all() for a, b in zip(lm._slots(data), want, strict=True))
+
+
+def test_all_training_texts_are_learned_from(spark, prose, rng, monkeypatch):
+    """Tables count every training text, and weights are the best for all of them, however little the fit starts from and however long a text is."""
+    rows = [(prose(int(rng.integers(20, 80))),) for _ in range(150)] + [("digits " + " ".join(map(str, rng.integers(0, 10**9, 4000))),), ("".join(rng.choice(list("acgt "), 40_000)),), (None,), ("",)]
+    df = spark.createDataFrame(rows, "text string")
+    models = []
+    for little, some in ((1e-9, 1 << 18), (1e-9, 1), (1e-3, 1 << 14)):
+        monkeypatch.setattr(lm, "FIT_BYTES", some)
+        monkeypatch.setattr(lm, "LITTLE", little)
+        models.append(lm.learn(df))
+    assert models[0].pieces == models[1].pieces == models[2].pieces
+    assert models[0].start == pytest.approx(models[1].start, abs=1e-3) and models[0].start == pytest.approx(models[2].start, abs=0.1)
+    data, first, last = laid_out([r[0].encode() for r in rows if r[0] is not None])
+    seen = np.zeros(1 << lm.SLOT_BITS[0], np.int64)
+    np.add.at(seen, lm._slots(data)[0][lm._coded(data, first, last)], 1)
+    assert (lm.unpack(-99, models[0].pieces)[0][:: 1 << lm.CELL_BITS] == np.searchsorted(lm.SEEN, seen, side="right")).all()
