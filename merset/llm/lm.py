@@ -26,12 +26,12 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +51,8 @@ CHUNK = 1 << 19
 STRETCH = 1 << 15
 #: A slot's first cells, the commonest nodes, are fetched at once.
 LINE = 16
+#: Bytes of text whose words are counted at once.
+TOKENS_BYTES = 1 << 23
 #: Bytes of training text, about, whose weights the fit on all of it starts from, and the longest text among them.
 FIT_BYTES = 1 << 18
 LONGEST_FIT = 1 << 15
@@ -169,14 +171,16 @@ def _coded(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _pack(cells: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted cells as differences, and their counts, compressed."""
-    return zlib.compress(np.diff(cells, prepend=cells.dtype.type(0)).astype("<u4").tobytes() + counts.astype("<i8").tobytes(), 1)
+    """Sorted cells as differences, and their counts, compressed: first bytes of all, second bytes of all and so on."""
+    parts = np.diff(cells, prepend=cells.dtype.type(0)).astype("<u4"), counts.astype("<i8")
+    return zlib.compress(b"".join(x.view(np.uint8).reshape(len(x), -1 if len(x) else x.itemsize).T.tobytes() for x in parts), 1)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zlib.decompress(blob)
+    raw = np.frombuffer(zlib.decompress(blob), np.uint8)
     n = len(raw) // 12
-    return np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64), np.frombuffer(raw, "<i8", n, 4 * n)
+    cells, counts = (np.ascontiguousarray(x.reshape(-1, n).T if n else x).view(t).ravel() for x, t in ((raw[: 4 * n], "<u4"), (raw[4 * n :], "<i8")))
+    return np.cumsum(cells, dtype=np.int64), counts
 
 
 def _summed(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +331,6 @@ def unpack(key: int, pieces: list[list[bytes]]) -> list[np.ndarray]:
 def byte_nats(data: np.ndarray, first: np.ndarray, last: np.ndarray, code: Code, tables: list[np.ndarray], start: np.ndarray, seen: list | None = None) -> np.ndarray:
     """Cost of each byte from the PAD-th on (0 where none is coded). start: weights by gate and table. seen: collects predictions, signs and gates."""
     base = [s << CELL_BITS for s in _slots(data)]
-    gate = np.take(tables[-2], base[-2]).astype(np.int64) * (len(SEEN) + 1) + np.take(tables[-1], base[-1])
     target, first, last = data[PAD:], first - PAD, last - PAD
     nats = np.zeros(len(target), np.float32)
     weights = np.repeat(start[None].astype(np.float32) / np.float32(SCALE), len(first), axis=0)
@@ -337,7 +340,7 @@ def byte_nats(data: np.ndarray, first: np.ndarray, last: np.ndarray, code: Code,
         for own, refine in ((live[left <= size], False), (live[left > size], seen is None)):
             n = np.minimum(last[own] - first[own] - done, size)
             for a, b in _runs(np.cumsum(n), 1 << 15):
-                _code_block(own[a:b], n[a:b], first, done, target, gate, base, code, tables, weights, bits, nats, refine, seen)
+                _code_block(own[a:b], n[a:b], first, done, target, base, code, tables, weights, bits, nats, refine, seen)
         live, done, size = own, done + size, min(2 * size, LAST_BLOCK)
     return nats
 
@@ -355,7 +358,7 @@ def _lines(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return table.view(np.complex128).take(rows >> 4, mode="clip").view(np.int8)
 
 
-def _code_block(live, n, first, done, target, gate, base, code, tables, weights, bits, nats, refine, seen) -> None:
+def _code_block(live, n, first, done, target, base, code, tables, weights, bits, nats, refine, seen) -> None:
     """One block of each of some texts: its costs and, unless it is their last, the gradient step that follows it."""
     at = np.repeat(first[live] + done - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     short = 255 - code.length.take(target.take(at, mode="clip"), mode="clip")
@@ -363,10 +366,12 @@ def _code_block(live, n, first, done, target, gate, base, code, tables, weights,
     left = np.searchsorted(short[order], 255 - np.arange(len(code.sign) + 1))  # lengths above 0, 1, ...
     at, key = at.take(order, mode="clip"), np.repeat(np.arange(len(live)) * GATES, n).take(order, mode="clip")
     byte = target.take(at, mode="clip").astype(np.int64)
-    key += gate.take(at, mode="clip")
-    own = np.ascontiguousarray(weights[live].reshape(-1, len(tables)).T)
-    w, rows = [x.take(key, mode="clip") for x in own], [x.take(at, mode="clip").astype(np.int64) for x in base]
+    rows = [x.take(at, mode="clip").astype(np.int64) for x in base]
     lines = [_lines(t, r) for t, r in zip(tables, rows, strict=True)]
+    key += lines[-2][::LINE] * np.int64(len(SEEN) + 1)
+    key += lines[-1][::LINE]
+    own = np.ascontiguousarray(weights[live].reshape(-1, len(tables)).T)
+    w = [x.take(key, mode="clip") for x in own]
     near, in_line = np.arange(0, len(at) * LINE, LINE), code.cell.max(1) < LINE
     where = np.empty_like(at)
     cost, steps = np.zeros(len(at), np.float32), [np.zeros(len(at), np.float32) for _ in tables] if refine else []
@@ -465,9 +470,8 @@ def newton_sums(data: np.ndarray, first: np.ndarray, last: np.ndarray, other: np
     """
     out = np.zeros((GATES, SUMS), np.int64)
     k, weights = len(SLOT_BITS), start.astype(np.float32) / np.float32(SCALE)
-    slots, kind = _slots(data), np.full(len(data) - PAD, 2, np.int8)  # the half that a byte is of, 2 where none is coded
-    for of, where in ((0, ~other), (1, other)):
-        kind[_coded(data, first[where], last[where])] = of
+    slots = _slots(data)  # kind: the half that a byte is of, 2 where none is coded
+    kind = np.repeat(np.stack([other.astype(np.int8), np.full(len(other), 2, np.int8)], 1).ravel(), np.stack([last - first, np.full(len(other), PAD)], 1).ravel())[: len(data) - PAD]
     in_line = code.cell.max(1) < LINE
     for a in range(0, len(kind), 1 << ALIKE_BITS):
         b = a + (1 << ALIKE_BITS)
@@ -633,28 +637,38 @@ def _dealt(docs: DataFrame, keep: str, train: Column, text: str, block_bytes: in
     return docs.select(F.col(keep), train.alias("train"), body.alias("body"), block.alias("block")).repartition(blocks, "block")
 
 
+def _words(body: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts, A-Z lower-cased, and the number of the text that each is of."""
+    if isinstance(body, pa.ChunkedArray):
+        body = body.combine_chunks()
+    words = pc.ascii_split_whitespace(pc.ascii_lower(body.cast(pa.binary()).view(pa.string())))
+    of, flat_words = pc.list_parent_indices(words), words.flatten()
+    some = pc.not_equal(flat_words, "")
+    return flat_words.filter(some).view(pa.binary()), of.filter(some).to_numpy()
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """block, token, n: distinct tokens of a block, with their counts in training texts; a token may come more than once."""
-    held: dict[int, Counter] = {}
+    held: list[pa.RecordBatch] = []
 
     def out() -> Iterator[pa.RecordBatch]:
-        for block, counts in held.items():
-            yield pa.record_batch({"block": pa.array([block] * len(counts), pa.int32()), "token": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
+        table = pa.Table.from_batches(held)
         held.clear()
+        blocks = table.column("block").to_numpy()
+        for block in np.unique(blocks):
+            rows = table.filter(pa.array(blocks == block))
+            learned, others = (_words(rows.filter(on).column("body"))[0] for on in (rows.column("train"), pc.invert(rows.column("train"))))
+            counts, more = learned.value_counts(), others.unique()
+            more = more.filter(pc.invert(pc.is_in(more, value_set=counts.field(0))))
+            for token, n in ((counts.field(0), counts.field(1)), (more, pa.array(np.zeros(len(more), np.int64)))):
+                yield pa.record_batch({"block": pa.array(np.full(len(token), block, np.int32)), "token": token, "n": n})
 
     for batch in batches:
-        for train, body, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            tokens = body.translate(LOWER).split()
-            counts = held.setdefault(block, Counter())
-            if train:
-                counts.update(tokens)
-            else:
-                for t in tokens:
-                    if t not in counts:
-                        counts[t] = 0
-        if sum(map(len, held.values())) > 800_000:
+        held.append(batch.select(["train", "body", "block"]))
+        if sum(b.nbytes for b in held) > TOKENS_BYTES:
             yield from out()
-    yield from out()
+    if held:
+        yield from out()
 
 
 def score_texts(docs: DataFrame, train: Column, keep: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
@@ -679,26 +693,22 @@ def score_texts(docs: DataFrame, train: Column, keep: str = "doc_id", text: str
     model_id = model._jbroadcast.id()
     rows = _dealt(docs, keep, train, text, block_bytes)
     words = rows.mapInArrow(_tokens, "block int, token binary, n long")
-    of = Window.partitionBy("token")
-    asked = words.withColumn("c", F.sum("n").over(of)).withColumn("once", F.row_number().over(of.orderBy("block", "n")) == 1).select("block", "token", "c", "n", "once")
+    of = Window.partitionBy("token").orderBy("block")  # one sort for both
+    asked = words.select("block", "token", F.sum("n").over(of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("c"), "n", (F.row_number().over(of) == 1).alias("once"))
     kind = docs.schema[keep].dataType.simpleString()
     schema = f"`{keep}` {kind}, train boolean, n_tokens long, n_known long, n_end long, log_counts double, nats double, n_bytes long, sum_n long, sum_v long"
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        known = {t.as_py(): c for t, c in zip(asked.column("token"), asked.column("c").to_numpy().tolist(), strict=True)}
+        words, of = _words(docs.column("body"))
+        c = asked.column("c").to_numpy()[pc.index_in(words, value_set=asked.column("token").combine_chunks().cast(pa.binary())).to_numpy()] if len(words) else np.zeros(0, np.int64)
         raw, starts, ends = flat(docs.column("body"))
         it: Model = model.value
         tables = unpack(model_id, it.pieces)
-        n, hit, logs, nats = (np.zeros(len(starts), t) for t in (np.int64, np.int64, float, float))
+        n, hit, logs, nats = np.bincount(of, minlength=len(starts)), np.bincount(of[c > 0], minlength=len(starts)), np.bincount(of, np.log10(c + 1.0), len(starts)), np.zeros(len(starts))
+        until = np.concatenate([[0], np.cumsum(n)])
         for i, j in slices(starts, ends, CHUNK):
-            counts = []
-            for d in range(i, j):
-                tokens = raw[starts[d] : ends[d]].tobytes().translate(LOWER).split()
-                c = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-                n[d], hit[d], logs[d] = len(tokens), np.count_nonzero(c), np.log10(c + 1.0).sum()
-                counts.append(c)
             laid = _laid_out(raw, starts[i:j], ends[i:j])
-            nats[i:j] = mixed_nats(*laid, byte_nats(*laid, it.code, tables, it.start), np.concatenate(counts), it.seen)
+            nats[i:j] = mixed_nats(*laid, byte_nats(*laid, it.code, tables, it.start), c[until[i] : until[j]], it.seen)
         m, once = len(n), asked.column("once").to_numpy().astype(bool)
         sums = [int(np.sum(asked.column("n").to_numpy())), int((once & (asked.column("c").to_numpy() > 0)).sum())] if asked.num_rows else [0, 0]
         ints = lambda x: pa.array(x, pa.int64())
