@@ -49,8 +49,10 @@ FAN = 64
 CHUNK = 1 << 19
 #: Bytes whose slots are worked out at once.
 STRETCH = 1 << 15
-#: A slot's first cells, the commonest nodes, are fetched at once.
-LINE = 16
+#: A slot's first cells, the commonest nodes, are fetched at once; more where a depth of the code needs them.
+LINES = (16, 32, 64)
+#: Bits whose costs are multiplied before one logarithm is taken; none is above 1 + e ** 14, so single precision holds them.
+AT_ONCE = 6
 #: Bytes of text whose words are counted at once.
 TOKENS_BYTES = 1 << 23
 #: Bytes of training text, about, whose weights the fit on all of it starts from, and the longest text among them.
@@ -132,13 +134,18 @@ def _laid_out(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     """The texts in one array, each with PAD blanks before and the end after; where what is coded starts and ends."""
     n = ends - starts
     size = n + PAD + 1
-    first = np.cumsum(size) - size
+    first = np.cumsum(size) - n - 1
     data = np.full(int(size.sum()), 32, np.uint8)
-    source = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    target = np.repeat(first + PAD - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    data[target] = _LOWER[raw[source]]
-    data[first + PAD + n] = END
-    return data, first + PAD, first + PAD + 1 + n
+    if (starts[1:] == ends[:-1]).all():  # one after another, as Arrow has them
+        source = raw[starts[0] : ends[-1]] if len(n) else raw[:0]
+    else:
+        source = raw[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    text = np.zeros(len(data), np.int8)
+    text[first] = 1
+    text[first + n] -= 1
+    data[np.cumsum(text, dtype=np.int8).view(bool)] = _LOWER.take(source)
+    data[first + n] = END
+    return data, first, first + 1 + n
 
 
 def _slots(data: np.ndarray) -> list[np.ndarray]:
@@ -173,12 +180,13 @@ def _coded(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 def _pack(cells: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted cells as differences, and their counts, compressed: first bytes of all, second bytes of all and so on."""
     parts = np.diff(cells, prepend=cells.dtype.type(0)).astype("<u4"), counts.astype("<i8")
-    return zlib.compress(b"".join(x.view(np.uint8).reshape(len(x), -1 if len(x) else x.itemsize).T.tobytes() for x in parts), 1)
+    planes = b"".join(x.view(np.uint8).reshape(len(x), -1 if len(x) else x.itemsize).T.tobytes() for x in parts)
+    return len(cells).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(blob), np.uint8)
-    n = len(raw) // 12
+    n = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], 12 * n), np.uint8)
     cells, counts = (np.ascontiguousarray(x.reshape(-1, n).T if n else x).view(t).ravel() for x, t in ((raw[: 4 * n], "<u4"), (raw[4 * n :], "<i8")))
     return np.cumsum(cells, dtype=np.int64), counts
 
@@ -227,22 +235,17 @@ def context_counts(docs: DataFrame, other: Column, text: str = "text", most: int
             return rows(k, list(range(PARTS)), [_pack(cells[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
 
         for batch in batches:
-            raw, starts, ends = flat(batch.column(0))
-            others = batch.column(1).to_numpy(zero_copy_only=False)
-            for i, j in slices(starts, ends, CHUNK):
-                data, first, last = _laid_out(raw, starts[i:j], ends[i:j])
-                on = _coded(data, first, last)
-                bytes_seen[:256] += np.bincount(data[PAD:][on], minlength=256)
-                bytes_seen[256] += np.count_nonzero(~_SPACE[data[PAD:][on]] & _SPACE[data[PAD - 1 : -1][on]])
-                bytes_seen[256] -= np.count_nonzero(_SPACE[data[last - 2]])  # an end after a blank begins no word
-                codes = [(s.view(np.uint32) << np.uint32(8)) | data[PAD:] for s in _slots(data)]
-                of = others[i:j]
-                for half, mine in enumerate((~of, of)):
-                    if not mine.any():
-                        continue
-                    part = on if mine.all() else _coded(data, first[mine], last[mine])
-                    for k, c in enumerate(codes, half * len(SLOT_BITS)):
-                        waiting[k].append(c[part])
+            for half, mine in enumerate((pc.invert(batch.column(1)), batch.column(1))):
+                raw, starts, ends = flat(batch.column(0).filter(mine))
+                for i, j in slices(starts, ends, CHUNK):
+                    data, first, last = _laid_out(raw, starts[i:j], ends[i:j])
+                    on, blank = _coded(data, first, last), _SPACE.take(data)
+                    bytes_seen[:256] += np.bincount(data[PAD:], minlength=256)
+                    bytes_seen[32] -= PAD * (len(first) - 1)  # blanks between texts, which begin no word
+                    bytes_seen[256] += np.count_nonzero(blank[PAD - 1 : -1] > blank[PAD:])
+                    bytes_seen[256] -= np.count_nonzero(blank[last - 2])  # an end after a blank begins no word
+                    for k, s in enumerate(_slots(data), half * len(SLOT_BITS)):
+                        waiting[k].append(((s.view(np.uint32) << np.uint32(8)) | data[PAD:])[on])
                         if sum(map(len, waiting[k])) > most:
                             merge(k)
                             if len(held[k][0]) > most:
@@ -330,7 +333,9 @@ def unpack(key: int, pieces: list[list[bytes]]) -> list[np.ndarray]:
 
 def byte_nats(data: np.ndarray, first: np.ndarray, last: np.ndarray, code: Code, tables: list[np.ndarray], start: np.ndarray, seen: list | None = None) -> np.ndarray:
     """Cost of each byte from the PAD-th on (0 where none is coded). start: weights by gate and table. seen: collects predictions, signs and gates."""
-    base = [s << CELL_BITS for s in _slots(data)]
+    base = _slots(data)
+    for s in base:
+        s <<= CELL_BITS
     target, first, last = data[PAD:], first - PAD, last - PAD
     nats = np.zeros(len(target), np.float32)
     weights = np.repeat(start[None].astype(np.float32) / np.float32(SCALE), len(first), axis=0)
@@ -353,9 +358,23 @@ def _runs(total: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _lines(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The first LINE cells of some rows, one after another."""
-    return table.view(np.complex128).take(rows >> 4, mode="clip").view(np.int8)
+def _lines(tables: list[np.ndarray], rows: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """The first cells of some rows of each table, one row after another."""
+    return [t.view(np.int64).reshape(-1, size // 8).take(r // size, axis=0, mode="clip").view(np.int8).ravel() for t, r in zip(tables, rows, strict=True)]
+
+
+def _line_sizes(code: Code) -> list[int]:
+    """How many cells, for each depth of the code, reach its nodes and those above."""
+    return [next(n for n in LINES if n > c) for c in np.maximum.accumulate(code.cell.max(1))]
+
+
+def _multiplied(cost: np.ndarray, odds: np.ndarray, more: np.ndarray, d: int) -> None:
+    """Multiplies the odds of the first positions by those of their bit at depth d; after AT_ONCE bits their logarithm becomes cost."""
+    own = odds[: len(more)]
+    own *= more
+    if d % AT_ONCE == AT_ONCE - 1:
+        cost[: len(more)] += np.log(own)
+        own[:] = 1
 
 
 def _code_block(live, n, first, done, target, base, code, tables, weights, bits, nats, refine, seen) -> None:
@@ -366,25 +385,25 @@ def _code_block(live, n, first, done, target, base, code, tables, weights, bits,
     left = np.searchsorted(short[order], 255 - np.arange(len(code.sign) + 1))  # lengths above 0, 1, ...
     at, key = at.take(order, mode="clip"), np.repeat(np.arange(len(live)) * GATES, n).take(order, mode="clip")
     byte = target.take(at, mode="clip").astype(np.int64)
-    rows = [x.take(at, mode="clip").astype(np.int64) for x in base]
-    lines = [_lines(t, r) for t, r in zip(tables, rows, strict=True)]
-    key += lines[-2][::LINE] * np.int64(len(SEEN) + 1)
-    key += lines[-1][::LINE]
+    rows = [x.take(at, mode="clip") for x in base]
+    sizes = _line_sizes(code)
+    size = sizes[0]
+    lines, near = _lines(tables, rows, size), np.arange(0, len(at) * size, size)
+    key += lines[-2][::size] * np.int64(len(SEEN) + 1)
+    key += lines[-1][::size]
     own = np.ascontiguousarray(weights[live].reshape(-1, len(tables)).T)
     w = [x.take(key, mode="clip") for x in own]
-    near, in_line = np.arange(0, len(at) * LINE, LINE), code.cell.max(1) < LINE
-    where = np.empty_like(at)
-    cost, steps = np.zeros(len(at), np.float32), [np.zeros(len(at), np.float32) for _ in tables] if refine else []
+    cost, odds, steps = np.zeros(len(at), np.float32), np.ones(len(at), np.float32), [np.zeros(len(at), np.float32) for _ in tables] if refine else []
     for d in range(len(code.sign)):
         m = int(left[d])
         if not m:
             break
         cell, sign = code.cell[d].take(byte[:m], mode="clip"), code.sign[d].take(byte[:m], mode="clip")
-        if in_line[d]:
-            cell += near[:m]
-            x = [line.take(cell, mode="clip").astype(np.float32) for line in lines]
-        else:
-            x = [table.take(np.add(r[:m], cell, out=where[:m]), mode="clip").astype(np.float32) for table, r in zip(tables, rows, strict=True)]
+        if sizes[d] > size:
+            size = sizes[d]
+            lines, near = _lines(tables, [r[:m] for r in rows], size), np.arange(0, m * size, size)
+        cell += near[:m]
+        x = [line.take(cell, mode="clip").astype(np.float32) for line in lines]
         if seen is not None:
             seen.append((np.stack(x, 1), sign, key[:m] % GATES))
         dot = x[0] * w[0][:m]
@@ -394,14 +413,14 @@ def _code_block(live, n, first, done, target, base, code, tables, weights, bits,
         np.clip(dot, -14, 14, out=dot)
         e = np.exp(dot, out=dot)
         more = e + np.float32(1)
-        cost[:m] += np.log(more)
+        _multiplied(cost, odds, more, d)
         if refine:
             e /= more
             e *= sign
             for k, v in enumerate(x):
                 v *= e
                 steps[k][:m] += v
-    nats[at] = cost
+    nats[at] = cost + np.log(odds)
     if refine:
         size = len(live) * GATES
         sums = np.stack([np.bincount(key, s, size) for s in steps], 1).reshape(len(live), GATES, -1)
@@ -468,40 +487,40 @@ def newton_sums(data: np.ndarray, first: np.ndarray, last: np.ndarray, other: np
     tables: of each half; a text's predictions are those of the half it is not of (``other``: of the second).
     Predictions are in bytes as in the tables, all else in units of 1 / FINE, so sums do not depend on their order.
     """
-    out = np.zeros((GATES, SUMS), np.int64)
+    out, curve = np.zeros((GATES, SUMS), np.int64), np.zeros((GATES, len(SLOT_BITS), len(SLOT_BITS)), np.int64)  # curve: above the diagonal
     k, weights = len(SLOT_BITS), start.astype(np.float32) / np.float32(SCALE)
     slots = _slots(data)  # kind: the half that a byte is of, 2 where none is coded
     kind = np.repeat(np.stack([other.astype(np.int8), np.full(len(other), 2, np.int8)], 1).ravel(), np.stack([last - first, np.full(len(other), PAD)], 1).ravel())[: len(data) - PAD]
-    in_line = code.cell.max(1) < LINE
+    sizes = _line_sizes(code)
+    classes = [np.concatenate([tables[i + k][:: 1 << CELL_BITS], tables[i][:: 1 << CELL_BITS]]) for i in (k - 2, k - 1)]  # of slots, by half
     for a in range(0, len(kind), 1 << ALIKE_BITS):
         b = a + (1 << ALIKE_BITS)
         at, times = _alike([s[a:b] for s in slots], data[PAD:][a:b], kind[a:b])
         at += a
-        byte, half = data[PAD:].take(at, mode="clip").astype(np.int64), kind.take(at, mode="clip").astype(np.int64)
-        rows = [s.take(at, mode="clip").astype(np.int64) << CELL_BITS for s in slots]
-        seen = [np.where(half == 0, tables[k + i].take(rows[i], mode="clip"), tables[i].take(rows[i], mode="clip")) for i in (k - 2, k - 1)]
-        group = (half * GATES + seen[0] * np.int64(len(SEEN) + 1) + seen[1]) * 64 + (63 - code.length.take(byte, mode="clip").astype(np.int64))
+        half = kind.take(at, mode="clip").astype(np.int64)
+        seen = [c.take(slots[i].take(at, mode="clip") + (half << SLOT_BITS[i]), mode="clip") for i, c in zip((k - 2, k - 1), classes, strict=True)]
+        group = (half * GATES + seen[0] * np.int64(len(SEEN) + 1) + seen[1]) * 64 + (63 - code.length.take(data[PAD:].take(at, mode="clip"), mode="clip").astype(np.int64))
         order = np.argsort(group.astype(np.uint16), kind="stable")  # by half and gate, longest codes first
-        byte, times, rows, group = (byte.take(order), times.take(order).astype(float), [r.take(order) for r in rows], group.take(order))
+        at, times, group = at.take(order), times.take(order).astype(float), group.take(order)
+        byte, rows, until = data[PAD:].take(at, mode="clip").astype(np.int64), [s.take(at, mode="clip").astype(np.int64) << CELL_BITS for s in slots], np.cumsum(times) - times
         for h, g in np.ndindex(2, GATES):
             begin, *ends = np.searchsorted(group, (h * GATES + g) * 64 + np.array([0, *(63 - np.arange(len(code.sign)))])).tolist()
             mine = tables[k * (1 - h) : k * (2 - h)]
             for begin, ends in _parts(begin, ends):
-                lines = [_lines(t, r[begin : ends[0]]) for t, r in zip(mine, rows, strict=True)]
-                near = np.arange(0, (ends[0] - begin) * LINE, LINE)
+                size = 0
+                cost, odds = np.zeros(ends[0] - begin, np.float32), np.ones(ends[0] - begin, np.float32)
                 for d, end in enumerate(ends):
                     if end <= begin:
                         break
                     n, own = times[begin:end], byte[begin:end]
                     cell, sign = code.cell[d].take(own, mode="clip"), code.sign[d].take(own, mode="clip")
                     x = np.empty((k, end - begin))
-                    if in_line[d]:
-                        cell += near[: end - begin]
-                        for i, line in enumerate(lines):
-                            x[i] = line.take(cell, mode="clip")
-                    else:
-                        for i, (table, r) in enumerate(zip(mine, rows, strict=True)):
-                            x[i] = table.take(r[begin:end] + cell, mode="clip")
+                    if sizes[d] > size:
+                        size = sizes[d]
+                        lines, near = _lines(mine, [r[begin:end] for r in rows], size), np.arange(0, (end - begin) * size, size)
+                    cell += near[: end - begin]
+                    for i, line in enumerate(lines):
+                        x[i] = line.take(cell, mode="clip")
                     e = x[0] * weights[g, 0]
                     for i in range(1, k):
                         e += x[i] * weights[g, i]
@@ -510,11 +529,15 @@ def newton_sums(data: np.ndarray, first: np.ndarray, last: np.ndarray, other: np
                     e = np.exp(np.clip(e, -14, 14, out=e), out=e)
                     more = e + np.float32(1)
                     e /= more
-                    out[g, 0] += int(np.rint(np.log(more) * FINE) @ n)
-                    out[g, 1] += int(n.sum())
-                    out[g, 2 : 2 + k] += (x @ (np.rint(e * sign * FINE) * n)).astype(np.int64)
+                    _multiplied(cost, odds, more, d)
+                    out[g, 1] += int(until[end - 1] + times[end - 1] - until[begin])
+                    out[g, 2 : 2 + k] += (x @ (np.rint(e * sign * FINE).astype(float) * n)).astype(np.int64)
                     e *= 1 - e
-                    out[g, 2 + k :] += ((x * (np.rint(e * FINE) * n)) @ x.T).astype(np.int64).ravel()
+                    bend = np.rint(e * FINE).astype(float) * n
+                    for i in range(k):
+                        curve[g, i, i:] += (x[i:] @ (x[i] * bend)).astype(np.int64)
+                out[g, 0] += int(np.rint((cost + np.log(odds)) * FINE) @ times[begin : ends[0]])
+    out[:, 2 + k :] = (curve + np.triu(curve, 1).transpose(0, 2, 1)).reshape(GATES, -1)
     return out
 
 
@@ -526,10 +549,13 @@ def mixed_nats(data: np.ndarray, first: np.ndarray, last: np.ndarray, nats: np.n
     are mixed by how much each was to be believed on the text's words before.
     """
     target, first, last = data[PAD:], first - PAD, last - PAD
-    stop = np.flatnonzero(_LAST[target] & _coded(data, first + PAD, last + PAD))
+    ending = _LAST.take(target)
+    ending[(last[:-1, None] + np.arange(PAD)).ravel()] = False  # blanks between texts
+    stop = np.flatnonzero(ending)
+    at = np.searchsorted(stop, first)
+    text = np.repeat(np.arange(len(first)), np.diff(at, append=len(stop)))
     begin = np.concatenate([[0], stop[:-1] + 1])
-    text = np.searchsorted(first, stop, side="right") - 1
-    begin = np.maximum(begin, first[text])
+    begin[at] = first
     a = np.add.reduceat(nats, np.stack([begin, stop + 1], 1).ravel()[:-1], dtype=np.float64)[::2] if len(stop) else np.zeros(0)
     if not seen[256]:
         return np.bincount(text, a, len(first))
@@ -538,13 +564,16 @@ def mixed_nats(data: np.ndarray, first: np.ndarray, last: np.ndarray, nats: np.n
     likely[stop > begin] = counts
     with np.errstate(divide="ignore"):
         b = -np.log(likely / max(int(seen[256]), 1)) - np.log(ends / max(int(ends.sum()), 1))[target[stop]]
-        at = np.searchsorted(text, np.arange(len(first)))
-        place, share = np.arange(len(stop)) - at[text], np.full(len(stop), BELIEF[0] / sum(BELIEF))
+        least = np.minimum(a, b)
+        p, q = np.exp(least - a), np.exp(least - b)  # over the greater of the two, so that neither is too great or both too small
+        begun = at[text]
+        place, share = np.arange(len(stop)) - begun + sum(BELIEF), np.full(len(stop), BELIEF[0] / sum(BELIEF))
         for _ in range(ROUNDS):
-            right = 1 / (1 + np.exp(np.clip(b - a + np.log(1 / share - 1), -50, 50)))
+            right = share * q
+            right /= right + (1 - share) * p
             sums = np.cumsum(right) - right
-            share = (BELIEF[0] + sums - sums[at[text]]) / (sum(BELIEF) + place)
-        return np.bincount(text, -np.logaddexp(np.log1p(-share) - a, np.log(share) - b), len(first))
+            share = (BELIEF[0] + sums - sums[begun]) / place
+        return np.bincount(text, least - np.log(share * q + (1 - share) * p), len(first))
 
 
 @dataclass

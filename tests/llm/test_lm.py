@@ -231,3 +231,27 @@ def test_all_training_texts_are_learned_from(spark, prose, rng, monkeypatch):
     seen = np.zeros(1 << lm.SLOT_BITS[0], np.int64)
     np.add.at(seen, lm._slots(data)[0][lm._coded(data, first, last)], 1)
     assert (lm.unpack(-99, models[0].pieces)[0][:: 1 << lm.CELL_BITS] == np.searchsorted(lm.SEEN, seen, side="right")).all()
+
+
+def test_one_logarithm_for_several_bits(rng, prose, monkeypatch):
+    """A byte's bits cost about one logarithm, not one each."""
+    code, tables, start = made_model(rng)
+    data, first, last = laid_out([prose(90).encode() for _ in range(5)])
+    sizes, log = [], np.log
+    monkeypatch.setattr(np, "log", lambda x, *a, **k: (sizes.append(np.size(x)), log(x, *a, **k))[1])
+    lm.byte_nats(data, first, last, code, tables, start)
+    n = int((last - first).sum())
+    assert n <= sum(sizes) < 0.6 * code.length[data[data != 32]].sum() and sum(sizes) < 2 * n
+
+
+def test_layout_and_packing(rng):
+    """Texts with bytes between them, or in any order, are laid out as ones that follow each other; packed counts come back whole."""
+    texts = [b"", b"Ab c", b"x", b"", "Übung\n".encode()]
+    raw = np.frombuffer(b"??Ab c--x" + "Übung\n".encode(), np.uint8)
+    starts = np.array([1, 2, 8, 3, 9])
+    got = lm._laid_out(raw, starts, starts + [len(t) for t in texts])
+    assert all((a == b).all() for a, b in zip(got, laid_out(texts), strict=True))
+    for n in (0, 1, 5000):
+        cells, counts = np.unique(rng.integers(0, 1 << 26, n).astype(np.uint32)), rng.integers(1, 1 << 40, n)
+        got = lm._unpack(lm._pack(cells, counts[: len(cells)]))
+        assert (got[0] == cells).all() and (got[1] == counts[: len(cells)]).all()
